@@ -201,4 +201,7 @@ def with_views(sql: str, *views: str) -> str:
     if not order:
         return sql
     ctes = ",\n".join(f"{v} AS ({VIEW_SQL[v]})" for v in order)
-    return f"WITH {ctes}\n{sql}"
+    body = sql.lstrip()
+    if body[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{body[4:].lstrip()}"
+    return f"WITH {ctes}\n{body}"

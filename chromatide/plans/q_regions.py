@@ -24,15 +24,17 @@ def parse_region_colon(spark, sf):
 
 
 @query("parse_region_dash", views=("features",), sql="""
-SELECT feature_idx, CASE WHEN len(p) = 3 THEN p[1] END AS chrom, CASE WHEN len(p) = 3 THEN CAST(p[2] AS BIGINT) END AS start_pos,
-       CASE WHEN len(p) = 3 THEN CAST(p[3] AS BIGINT) END AS end_pos, len(p) = 3 AS ok
+SELECT feature_idx, CASE WHEN len(p) = 3 THEN p[1] END AS chrom, CASE WHEN len(p) = 3 THEN CAST(p[2] AS BIGINT) ELSE -1 END AS start_pos,
+       CASE WHEN len(p) = 3 THEN CAST(p[3] AS BIGINT) ELSE -1 END AS end_pos, len(p) = 3 AS ok
 FROM (SELECT feature_idx, string_split(CASE WHEN feature_idx % 7 = 0 THEN concat(replace(feature, ':', '-'), '-x')
       ELSE replace(feature, ':', '-') END, '-') AS p FROM features)""")
 def parse_region_dash(spark, sf):
     f = Inputs(spark, sf).features
     name = F.when(F.col("feature_idx") % 7 == 0, F.concat(R.region_to_dash("feature"), F.lit("-x"))) \
         .otherwise(R.region_to_dash("feature"))
-    return f.select("feature_idx", R.parse_region_dash(name).alias("r")).select("feature_idx", "r.*")
+    r = f.select("feature_idx", R.parse_region_dash(name).alias("r")).select("feature_idx", "r.*")
+    # error rows keep chrom NULL; positions shown as -1 so the check column stays integral
+    return r.fillna(-1, ["start_pos", "end_pos"])
 
 
 @query("region_to_dash", views=("features",),

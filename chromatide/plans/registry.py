@@ -10,7 +10,7 @@ from chromatide.plans.fixtures import with_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["q_matrix", "q_labels", "q_regions", "q_sequences"]
+MODULES = ["q_matrix", "q_labels", "q_regions", "q_sequences", "q_sentences"]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}

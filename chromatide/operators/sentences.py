@@ -8,6 +8,7 @@ collected.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,7 +168,6 @@ def with_pvalue(df: DataFrame, z: str = "w_stat") -> DataFrame:
     """Two-sided normal p-value erfc(|z|/sqrt(2)) (Arrow pandas UDF: no erf in Spark SQL)."""
     import math
 
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")

@@ -48,3 +48,24 @@ def ecdf(df: DataFrame, value: str, name: str = "percentile") -> DataFrame:
     upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     cdf = per_value.select(value, (F.sum("_c").over(upto) / n_total).alias(name))
     return df.join(cdf, value)
+
+
+def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str,
+                exclusive: bool = False) -> DataFrame:
+    """Running sum of ``value`` within ``by`` in ``order`` (keys ``by + [order]`` unique).
+
+    The frame is range-partitioned on ``by + [order]``, so one key of ``by``
+    holding most rows is still spread over many partitions.  Each partition
+    sums locally; totals per (partition, key) - one small row each - give the
+    amount carried in from earlier partitions.
+    """
+    tagged = df.orderBy(*by, order).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", *by).orderBy(order)
+    frame = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    local = tagged.withColumn("_loc", F.coalesce(F.sum(value).over(frame), F.lit(0)))
+    per = tagged.groupBy("_pid", *by).agg(F.sum(value).alias("_tot"))
+    wc = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select("_pid", *by, F.coalesce(F.sum("_tot").over(wc), F.lit(0)).alias("_car"))
+    return (local.join(carry, ["_pid", *by])
+            .withColumn(name, F.col("_loc") + F.col("_car"))
+            .drop("_pid", "_loc", "_car"))

@@ -25,7 +25,8 @@ def _carry(df: DataFrame, keys: list[str], value: str, local: str, how: str) ->
     return df.join(carried, keys + ["_pid"], "left")
 
 
-def read_fasta(spark: SparkSession, paths, chunk: int = CHUNK) -> DataFrame:
+def read_fasta(spark: SparkSession, paths, chunk: int = CHUNK, header_prefix: str = ">chr",
+               name_pattern: str | None = CONTIG_NAME) -> DataFrame:
     """FASTA files -> ``(genome, contig, chunk_id, seq)``.
 
     Headers are lines matching ``>chr.*``; the name is the header without
@@ -36,14 +37,14 @@ def read_fasta(spark: SparkSession, paths, chunk: int = CHUNK) -> DataFrame:
     raw = (spark.read.text(paths)
            .select(F.input_file_name().alias("_file"), F.col("value").alias("_line"),
                    F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
-    raw = raw.withColumn("_is_h", F.col("_line").startswith(">chr"))
+    raw = raw.withColumn("_is_h", F.col("_line").startswith(header_prefix))
     w_local = Window.partitionBy("_pid", "_file").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
     x = raw.withColumn("_hloc", F.max(F.when(F.col("_is_h"), F.col("_mid"))).over(w_local))
     x = _carry(x.withColumn("_hv", F.when(F.col("_is_h"), F.col("_mid"))), ["_file"], "_hv", "_hcar", "max")
     x = x.withColumn("_inst", F.coalesce("_hloc", "_hcar"))
     heads = (x.where("_is_h").select("_file", F.col("_mid").alias("_inst"),
                                      F.replace(F.col("_line"), F.lit(">"), F.lit("")).alias("contig"))
-             .where(F.col("contig").rlike(CONTIG_NAME))
+             .where(F.col("contig").rlike(name_pattern) if name_pattern else F.lit(True))
              .withColumn("genome", F.regexp_extract(F.col("_file"), r"([^/]*?)(\.[^/]*)?$", 1)))
     latest = heads.groupBy("genome", "contig").agg(F.max(F.struct("_file", "_inst")).alias("_k")) \
         .select("genome", "contig", F.col("_k._file").alias("_file"), F.col("_k._inst").alias("_inst"))

@@ -10,7 +10,7 @@ from chromatide.plans.fixtures import with_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["q_matrix", "q_labels", "q_regions", "q_sequences", "q_sentences", "q_distance", "q_eval", "q_hits", "q_stats", "q_examples", "q_io"]
+MODULES = ["q_matrix", "q_labels", "q_regions", "q_sequences", "q_sentences", "q_distance", "q_eval", "q_hits", "q_stats", "q_examples", "q_io", "q_stream"]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}

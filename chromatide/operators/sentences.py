@@ -141,10 +141,13 @@ def rank_sum_test(rm: DataFrame, group1: DataFrame, group2: DataFrame, min_pct:
     counted).  ``p_val`` comes from :func:`with_pvalue`.
     """
     g = group1.select("cell", F.lit(1).alias("grp")).unionByName(group2.select("cell", F.lit(2).alias("grp")))
-    n1 = group1.count()
-    n2 = group2.count()
+    universe = rm.select("cell").distinct() if sent is None else sent.select("cell")
+    # one job for the three sizes
+    row = universe.join(g, "cell", "full").agg(
+        F.count(F.when(F.col("grp") == 1, 1)).alias("n1"), F.count(F.when(F.col("grp") == 2, 1)).alias("n2"),
+        F.countDistinct("cell").alias("n_all")).first()
+    n1, n2, all_cells = int(row["n1"]), int(row["n2"]), int(row["n_all"])
     n = n1 + n2
-    all_cells = rm.select("cell").distinct().count() if sent is None else sent.count()
     pres = rm.groupBy("feature_idx").agg(F.count(F.lit(1)).alias("_np"))
     feats = pres.where(F.col("_np") > F.lit(min_pct * all_cells)).select("feature_idx")
     sub = rm.join(g.select("cell"), "cell", "left_semi")

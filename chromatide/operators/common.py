@@ -6,18 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back (reliable, lineage cut).
+
+    Used where partition ids are part of the result: both uses of the frame
+    must see the same partitions, also after a lost executor, so they read
+    the checkpointed copy instead of re-running a sampled range shuffle.
+    """
+    from chromatide.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def global_position(df: DataFrame, order_cols: list, name: str = "pos", start: int = 1) -> DataFrame:
     """Add a 1-based position in a *total* order, without a single-partition window.
 
     The frame is range-partitioned by ``orderBy``; each row gets its partition id
     and its index inside the partition (``monotonically_increasing_id`` keeps the
-    partition in the upper bits).  Per-partition counts (one row per partition,
-    so a bounded table) give the offsets, broadcast back.  ``order_cols`` must
-    make the order total, so the result does not depend on the run.
+    partition in the upper bits).  The tagged frame is checkpointed, so the
+    counts and the rows come from one materialisation.  Per-partition counts
+    (one row per partition, so a bounded table) give the offsets, broadcast
+    back.  ``order_cols`` must make the order total, so the result does not
+    depend on the run.
     """
-    tagged = (df.orderBy(*order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = materialize(df.orderBy(*order_cols)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
@@ -59,7 +73,7 @@ def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str,
     sums locally; totals per (partition, key) - one small row each - give the
     amount carried in from earlier partitions.
     """
-    tagged = df.orderBy(*by, order).withColumn("_pid", F.spark_partition_id())
+    tagged = materialize(df.orderBy(*by, order).withColumn("_pid", F.spark_partition_id()))
     w = Window.partitionBy("_pid", *by).orderBy(order)
     frame = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     local = tagged.withColumn("_loc", F.coalesce(F.sum(value).over(frame), F.lit(0)))

@@ -185,8 +185,9 @@ def cell_windows(i: Inputs):
     """(cell, rank, ids) for each cell's top-K regions: val window (Q01) -> CLS + ids + SEP."""
     orders = topk(i.counts, K_SEQ).select("cell", "rank", F.col("feature_idx").alias("region_id"))
     w = window_fixed(i.regions, QS.chunks(i), QS.L, size=QS.CHUNK)
-    seqs = orders.join(w, "region_id")
-    return X.sequence_ids(seqs).select("cell", "rank", "ids")
+    # tokenise once per region, then attach to every cell that ranks it
+    ids = X.sequence_ids(w).select("region_id", "ids")
+    return orders.join(ids, "region_id").select("cell", "rank", "ids")
 
 
 NESTED_MD5 = "md5(array_join(transform(input_ids_of_seqs, s -> array_join(cast(s AS array<string>), ',')), '|'))"

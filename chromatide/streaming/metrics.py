@@ -1,8 +1,10 @@
 """Running classification metrics over an event stream (Structured Streaming).
 
 Label / prediction counts and accuracy per tumbling event-time window and
-label.  Rows later than the watermark are dropped (append mode); complete
-mode re-emits every window.  State lives in the streaming checkpoint, the
+label.  In append mode a window is emitted once the watermark (max event
+time minus the delay) passes its end; a row whose window lies behind the
+watermark of an earlier micro-batch is dropped (Spark filters late rows with
+the previous batch's watermark).  Complete mode re-emits every window.  State lives in the streaming checkpoint, the
 result in a Parquet table written per micro-batch, so a restarted query
 resumes where it stopped.
 """

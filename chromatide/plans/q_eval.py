@@ -10,6 +10,7 @@ from chromatide.plans.fixtures import Inputs
 from chromatide.plans.registry import query
 
 STEP = 24          # classifier batch size
+SHORT = "CAST(2 + length(seq) % 3 AS INT)"
 NCLS = 10          # score dims taken from the embedding
 
 
@@ -128,25 +129,34 @@ def win_first_seen_label_id(spark, sf):
 
 # ---- token metrics -------------------------------------------------------------------
 
-def token_samples(i: Inputs, n_label: int | None = 24):
-    """Labels: tokens 1..24 of the contig behind a -100 question mask; predictions: tokens 2..25."""
+def token_samples(i: Inputs):
+    """Whole contigs as samples: labels = all tokens behind a -100 question mask,
+    predictions = the same tokens shifted by one (then PAD), as a next-token model would emit."""
     c = i.contigs
-    t = char_ids(F.rpad("seq", 25, "N"))
+    t = char_ids("seq")
     q = (F.length("seq") % 4 + 1).cast("int")
-    lab = F.slice(t, 1, n_label) if n_label else F.slice(t, 1, 24)
     return c.select(F.col("contig").alias("sample"),
-                    F.concat(F.array_repeat(F.lit(-100), q), lab).alias("labels"),
-                    F.concat(F.array_repeat(F.lit(0), q), F.slice(t, 2, 24)).alias("preds"))
+                    F.concat(F.array_repeat(F.lit(-100), q), t).alias("labels"),
+                    F.concat(F.array_repeat(F.lit(0), q), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
+                             F.array(F.lit(4))).alias("preds"))
 
 
-TOK = ("list_transform(string_split(rpad(seq, 25, 'N'), ''), lambda x: CASE x WHEN 'A' THEN 7 WHEN 'C' THEN 8 "
+TOK = ("list_transform(string_split({c}, ''), lambda x: CASE x WHEN 'A' THEN 7 WHEN 'C' THEN 8 "
        "WHEN 'G' THEN 9 WHEN 'T' THEN 10 WHEN 'N' THEN 11 ELSE 6 END)")
 
 
-def samples_sql(lab_len: str = "24") -> str:
-    return f"""SELECT contig AS sample, list_concat(list_resize([]::INT[], CAST(length(seq) % 4 + 1 AS INT), -100), t[1:{lab_len}]) AS labels,
+def samples_sql() -> str:
+    return f"""SELECT contig AS sample, list_concat(list_resize([]::INT[], CAST(length(seq) % 4 + 1 AS INT), -100), t) AS labels,
+  list_concat(list_resize([]::INT[], CAST(length(seq) % 4 + 1 AS INT), 0), t[2:], [4]) AS preds
+  FROM (SELECT contig, seq, {TOK.format(c='seq')} AS t FROM contigs)"""
+
+
+def short_samples_sql() -> str:
+    """Short samples (2-4 label tokens) for the fallback rule."""
+    t = TOK.format(c="rpad(seq, 25, 'N')")
+    return f"""SELECT contig AS sample, list_concat(list_resize([]::INT[], CAST(length(seq) % 4 + 1 AS INT), -100), t[1:{SHORT}]) AS labels,
   list_concat(list_resize([]::INT[], CAST(length(seq) % 4 + 1 AS INT), 0), t[2:25]) AS preds
-  FROM (SELECT contig, seq, {TOK} AS t FROM contigs)"""
+  FROM (SELECT contig, seq, {t} AS t FROM contigs)"""
 
 
 def aligned_sql(src: str) -> str:
@@ -205,8 +215,8 @@ def eval_token_metrics(spark, sf):
                ["accuracy", "precision", "recall", "macro_f1"])
 
 
-def _corr(spark, sf, col, n_label=24):
-    tp = E.token_pairs(token_samples(Inputs(spark, sf), n_label), "sample")
+def _corr(spark, sf, col):
+    tp = E.token_pairs(token_samples(Inputs(spark, sf)), "sample")
     return _r6(E.correlations(tp, "sample").select("sample", col), [col])
 
 
@@ -225,10 +235,7 @@ def eval_r2(spark, sf):
     return _corr(spark, sf, "r2")
 
 
-SHORT = "CAST(2 + length(seq) % 3 AS INT)"
-
-
-@query("eval_short_fallback", views=("contigs",), sql=corr_sql(samples_sql(SHORT)) +
+@query("eval_short_fallback", views=("contigs",), sql=corr_sql(short_samples_sql()) +
        " SELECT sample, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(r2, 6) AS r2 FROM c")
 def eval_short_fallback(spark, sf):
     i = Inputs(spark, sf)

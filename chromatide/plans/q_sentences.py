@@ -224,8 +224,6 @@ def join_dictionary_dense(spark, sf):
     names = S.with_names(i.sentences, i.features).select("cell", "pos", "feature")
     vals = S.reconstruct(names, i.features, SLOPE, ICPT)
     dense = S.densify(vals, i.features, i.sentences.select("cell"))
-    feats = i.features.select("feature_idx").orderBy("feature_idx")
-    del feats
     # long form for the check: slot order equals feature_idx order
     from chromatide.operators.common import global_position
     pos = global_position(i.features.select("feature_idx"), [F.col("feature_idx")], "_slot", 0)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from chromatide.functions.seeded import sql_seeded_hash
 from chromatide.operators import sequences as S

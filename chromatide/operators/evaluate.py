@@ -141,41 +141,50 @@ def token_metrics(df: DataFrame, sample: str, labels: str = "labels", preds: str
     return cls.join(correlations(tp, sample), sample)
 
 
-def _pearson(x: str, y: str, by: str, df: DataFrame) -> DataFrame:
-    n = F.count(F.lit(1))
-    sx, sy = F.sum(F.col(x).cast("double")), F.sum(F.col(y).cast("double"))
-    sxx, syy = F.sum(F.col(x).cast("double") ** 2), F.sum(F.col(y).cast("double") ** 2)
-    sxy = F.sum(F.col(x).cast("double") * F.col(y).cast("double"))
-    g = df.groupBy(by).agg(n.alias("n"), sx.alias("sx"), sy.alias("sy"), sxx.alias("sxx"), syy.alias("syy"),
-                           sxy.alias("sxy"))
-    vx = F.col("n") * F.col("sxx") - F.col("sx") ** 2
-    vy = F.col("n") * F.col("syy") - F.col("sy") ** 2
-    r = F.when((vx <= 0) | (vy <= 0), F.lit(NAN)).otherwise(
-        (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy))
-    return g.select(by, r.alias("r"))
-
-
-def midrank_within(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(value)
-    wt = Window.partitionBy(*by, value)
-    return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)
-
-
 def correlations(tp: DataFrame, sample: str) -> DataFrame:
-    """Pearson, Spearman (Pearson of mid-ranks), R^2 / n; n < 2 falls back to first-token equality."""
-    pe = _pearson("y", "p", sample, tp).withColumnRenamed("r", "pearson")
-    rk = midrank_within(midrank_within(tp, [sample], "y", "ry"), [sample], "p", "rp")
-    sp = _pearson("ry", "rp", sample, rk).withColumnRenamed("r", "spearman")
-    yd, pd_ = F.col("y").cast("double"), F.col("p").cast("double")
-    r2 = tp.groupBy(sample).agg(F.count(F.lit(1)).alias("n"), F.sum((yd - pd_) ** 2).alias("sse"),
-                                F.sum(yd).alias("sy"), F.sum(yd * yd).alias("syy"),
-                                F.min_by(F.struct((F.col("y") == F.col("p")).cast("double").alias("e")), F.col("pos"))["e"].alias("first_eq"))
+    """Pearson, Spearman (Pearson of mid-ranks), R^2 / n; n < 2 falls back to first-token equality.
+
+    Token ids come from a small alphabet, so every statistic is a function of
+    the pair counts per (sample, y, p): the token rows are aggregated map-side
+    into at most |alphabet|^2 rows per sample before anything is shuffled.  A
+    value's mid-rank is (#smaller values) + (its count + 1) / 2, from a window
+    over the few distinct values of a sample.  All sums are of integers or
+    halves, so they are exact whatever the summation order.
+    """
+    pc = tp.groupBy(sample, "y", "p").agg(F.count(F.lit(1)).alias("c"))
+    first = tp.where(F.col("pos") == 0).select(sample, (F.col("y") == F.col("p")).cast("double").alias("first_eq"))
+
+    def ranks(col: str, name: str) -> DataFrame:
+        cnt = pc.groupBy(sample, col).agg(F.sum("c").alias("_k"))
+        w = Window.partitionBy(sample).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+        return cnt.select(sample, col, (F.coalesce(F.sum("_k").over(w), F.lit(0)) + (F.col("_k") + 1) / 2.0).alias(name))
+
+    x = pc.join(ranks("y", "ry"), [sample, "y"]).join(ranks("p", "rp"), [sample, "p"])
+    c = F.col("c").cast("double")
+    y, p = F.col("y").cast("double"), F.col("p").cast("double")
+    ry, rp = F.col("ry"), F.col("rp")
+    agg = x.groupBy(sample).agg(
+        F.sum(c).alias("n"),
+        F.sum(c * p).alias("sx"), F.sum(c * y).alias("sy"), F.sum(c * p * p).alias("sxx"),
+        F.sum(c * y * y).alias("syy"), F.sum(c * p * y).alias("sxy"),
+        F.sum(c * rp).alias("rx"), F.sum(c * ry).alias("ry_"), F.sum(c * rp * rp).alias("rxx"),
+        F.sum(c * ry * ry).alias("ryy"), F.sum(c * rp * ry).alias("rxy"),
+        F.sum(c * (y - p) * (y - p)).alias("sse"))
+
+    def pearson(sx, sy, sxx, syy, sxy):
+        n = F.col("n")
+        vx = n * F.col(sxx) - F.col(sx) ** 2
+        vy = n * F.col(syy) - F.col(sy) ** 2
+        return F.when((vx <= 0) | (vy <= 0), F.lit(NAN)).otherwise(
+            (n * F.col(sxy) - F.col(sx) * F.col(sy)) / F.sqrt(vx * vy))
+
     sst = F.col("syy") - F.col("sy") ** 2 / F.col("n")
-    r2v = F.when(sst == 0, F.when(F.col("sse") == 0, 1.0).otherwise(0.0)).otherwise(1 - F.col("sse") / sst) / F.col("n")
-    out = r2.select(sample, "n", "first_eq", r2v.alias("r2")).join(pe, sample).join(sp, sample)
+    r2 = F.when(sst == 0, F.when(F.col("sse") == 0, 1.0).otherwise(0.0)).otherwise(1 - F.col("sse") / sst) / F.col("n")
+    out = agg.select(sample, "n", pearson("sx", "sy", "sxx", "syy", "sxy").alias("pearson"),
+                     pearson("rx", "ry_", "rxx", "ryy", "rxy").alias("spearman"), r2.alias("r2")).join(first, sample)
     short = F.col("n") < 2
-    return out.select(sample, *[F.when(short, F.col("first_eq")).otherwise(F.col(c)).alias(c)
-                                for c in ["pearson", "spearman", "r2"]])
+    return out.select(sample, *[F.when(short, F.col("first_eq")).otherwise(F.col(col)).alias(col)
+                                for col in ["pearson", "spearman", "r2"]])
 
 
 # ---- scores, losses, AUROC ------------------------------------------------------------------

@@ -132,9 +132,9 @@ def win_first_seen_label_id(spark, sf):
 def token_samples(i: Inputs):
     """Whole contigs as samples: labels = all tokens behind a -100 question mask,
     predictions = the same tokens shifted by one (then PAD), as a next-token model would emit."""
-    c = i.contigs
-    t = char_ids("seq")
-    q = (F.length("seq") % 4 + 1).cast("int")
+    # tokenise once (a separate projection: Catalyst does not duplicate a costly expression into the next one)
+    c = i.contigs.select("contig", (F.length("seq") % 4 + 1).cast("int").alias("_q"), char_ids("seq").alias("_t"))
+    t, q = F.col("_t"), F.col("_q")
     return c.select(F.col("contig").alias("sample"),
                     F.concat(F.array_repeat(F.lit(-100), q), t).alias("labels"),
                     F.concat(F.array_repeat(F.lit(0), q), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),

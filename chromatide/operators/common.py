@@ -54,14 +54,13 @@ def sql_arr_text(expr: str, sep: str = ",") -> str:
 def ecdf(df: DataFrame, value: str, name: str = "percentile") -> DataFrame:
     """Empirical CDF of ``value``: share of rows with value <= this row's value.
 
-    Counted over the distinct values (a much smaller table) and joined back, so
-    no window runs over all rows in one partition.
+    Counted per distinct value, cumulated with the distributed running sum
+    (no window over all values in one partition) and joined back.
     """
-    n_total = F.sum("_c").over(Window.partitionBy())
     per_value = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cdf = per_value.select(value, (F.sum("_c").over(upto) / n_total).alias(name))
-    return df.join(cdf, value)
+    total = per_value.agg(F.sum("_c")).first()[0] or 0
+    cdf = running_sum(per_value, [], value, "_c", "_cum")
+    return df.join(cdf.select(value, (F.col("_cum") / F.lit(float(total) or 1.0)).alias(name)), value)
 
 
 def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str,

@@ -80,4 +80,8 @@ def weighted_sample(df: DataFrame, total: int, species: str, contig: str, key: s
     nc = df.groupBy(species).agg(F.countDistinct(contig).alias("_nc"))
     w = Window.partitionBy(species, contig).orderBy(seeded_hash(seed, key), F.col(key))
     x = df.join(nc, species).withColumn("_r", F.row_number().over(w))
-    return x.where(F.col("_r") <= F.ceil(F.lit(per_species) / F.col("_nc"))).drop("_r", "_nc")
+    # a literal bound (the largest possible quota) lets Catalyst cut each stratum to it before the
+    # shuffle (WindowGroupLimit); the per-stratum quota is applied after
+    bound = math.ceil(per_species)
+    return (x.where(F.col("_r") <= bound)
+            .where(F.col("_r") <= F.ceil(F.lit(per_species) / F.col("_nc"))).drop("_r", "_nc"))

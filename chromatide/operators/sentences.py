@@ -111,25 +111,36 @@ def group_mean_rank(rm: DataFrame, group1: DataFrame, group2: DataFrame, feature
                       (F.col("_s2") / F.lit(n2)).alias("mean_rank_group_2"))
 
 
+def midrank_table(rm: DataFrame, n_cells: int, features: DataFrame | None = None, counts: str | None = None) -> DataFrame:
+    """Mid-rank of every (feature, score) value over ``n_cells`` cells, absent cells scoring 0.
+
+    Built from counts per (feature, score) - never from a window over one
+    feature's cells, so a feature present in most cells is not one task.  The
+    cells below a score come from a distributed running sum; absent cells form
+    the lowest block: z = n_cells - nnz cells with mid-rank (z + 1) / 2.
+    ``counts`` names a precomputed count column (else rows are counted).
+    """
+    from chromatide.operators.common import running_sum
+    x = rm if features is None else rm.join(features.select("feature_idx"), "feature_idx", "left_semi")
+    per = x if counts else x.groupBy("feature_idx", "score").agg(F.count(F.lit(1)).alias("_k"))
+    k = counts or "_k"
+    cum = running_sum(per, ["feature_idx"], "score", k, "_less", exclusive=True)
+    nnz = per.groupBy("feature_idx").agg(F.sum(k).alias("_nnz"))
+    z = F.lit(n_cells) - F.col("_nnz")
+    return cum.join(nnz, "feature_idx").select(
+        "*", (z + F.col("_less") + (F.col(k) + 1) / 2.0).alias("midrank"),
+        ((z + 1) / 2.0).alias("zero_midrank"), z.cast("bigint").alias("n_zero")).drop("_less", "_nnz")
+
+
 def midranks(rm: DataFrame, n_cells: int, features: DataFrame | None = None) -> DataFrame:
     """Mid-ranks (ties averaged) of each feature's scores over all cells.
 
-    Absent cells score 0 and form the lowest block of z = n_cells - nnz cells
-    with mid-rank (z + 1) / 2; a present cell's mid-rank is z plus its
-    average rank among the present ones.  Output rows are the present
-    entries, with the feature's ``zero_midrank`` and ``n_zero``.
+    Output rows are the present entries with their mid-rank, the feature's
+    ``zero_midrank`` and ``n_zero`` (from :func:`midrank_table`).
     """
     x = rm if features is None else rm.join(features.select("feature_idx"), "feature_idx", "left_semi")
-    w = Window.partitionBy("feature_idx")
-    wo = Window.partitionBy("feature_idx").orderBy("score")
-    wt = Window.partitionBy("feature_idx", "score")
-    x = (x.withColumn("_nnz", F.count(F.lit(1)).over(w))
-         .withColumn("_r", F.rank().over(wo))
-         .withColumn("_t", F.count(F.lit(1)).over(wt)))
-    z = F.lit(n_cells) - F.col("_nnz")
-    return x.select("cell", "feature_idx", "score",
-                    (z + F.col("_r") + (F.col("_t") - 1) / 2.0).alias("midrank"),
-                    ((z + 1) / 2.0).alias("zero_midrank"), z.cast("bigint").alias("n_zero"))
+    t = midrank_table(x, n_cells).select("feature_idx", "score", "midrank", "zero_midrank", "n_zero")
+    return x.select("cell", "feature_idx", "score").join(t, ["feature_idx", "score"])
 
 
 def rank_sum_test(rm: DataFrame, group1: DataFrame, group2: DataFrame, min_pct: float = 0.1,
@@ -137,8 +148,10 @@ def rank_sum_test(rm: DataFrame, group1: DataFrame, group2: DataFrame, min_pct:
     """Wilcoxon rank-sum z per feature between two cell groups (no tie correction).
 
     Features tested: present in more than ``min_pct`` of all cells.  Ranks are
-    over the cells of both groups.  Also the mean score per group (zeros
-    counted).  ``p_val`` comes from :func:`with_pvalue`.
+    over the cells of both groups.  Everything comes from counts per
+    (feature, score, group): the rank sum of group 1 is the sum of count x
+    mid-rank plus its absent cells at the zero block's mid-rank.  Also the mean
+    score per group (zeros counted).  ``p_val`` comes from :func:`with_pvalue`.
     """
     g = group1.select("cell", F.lit(1).alias("grp")).unionByName(group2.select("cell", F.lit(2).alias("grp")))
     universe = rm.select("cell").distinct() if sent is None else sent.select("cell")
@@ -150,17 +163,18 @@ def rank_sum_test(rm: DataFrame, group1: DataFrame, group2: DataFrame, min_pct:
     n = n1 + n2
     pres = rm.groupBy("feature_idx").agg(F.count(F.lit(1)).alias("_np"))
     feats = pres.where(F.col("_np") > F.lit(min_pct * all_cells)).select("feature_idx")
-    sub = rm.join(g.select("cell"), "cell", "left_semi")
-    mr = midranks(sub, n, feats).join(g, "cell")
+    per = (rm.join(feats, "feature_idx", "left_semi").join(g, "cell")
+           .groupBy("feature_idx", "score")
+           .agg(F.count(F.when(F.col("grp") == 1, 1)).alias("_k1"), F.count(F.lit(1)).alias("_k")))
+    mr = midrank_table(per, n, counts="_k")
     agg = mr.groupBy("feature_idx").agg(
-        F.sum(F.when(F.col("grp") == 1, F.col("midrank")).otherwise(0.0)).alias("_r1p"),
-        F.count(F.when(F.col("grp") == 1, 1)).alias("_k1"),
-        F.sum(F.when(F.col("grp") == 1, F.col("score")).otherwise(0)).alias("_s1"),
-        F.sum(F.when(F.col("grp") == 2, F.col("score")).otherwise(0)).alias("_s2"),
+        F.sum(F.col("_k1") * F.col("midrank")).alias("_r1p"), F.sum("_k1").alias("_c1"),
+        F.sum(F.col("_k1") * F.col("score")).alias("_s1"),
+        F.sum((F.col("_k") - F.col("_k1")) * F.col("score")).alias("_s2"),
         F.max("zero_midrank").alias("_zm"))
-    agg = feats.join(agg, "feature_idx", "left").fillna(0, ["_r1p", "_k1", "_s1", "_s2"]) \
+    agg = feats.join(agg, "feature_idx", "left").fillna(0, ["_r1p", "_c1", "_s1", "_s2"]) \
         .withColumn("_zm", F.coalesce("_zm", F.lit((n + 1) / 2.0)))
-    r1 = F.col("_r1p") + (F.lit(n1) - F.col("_k1")) * F.col("_zm")
+    r1 = F.col("_r1p") + (F.lit(n1) - F.col("_c1")) * F.col("_zm")
     z = (r1 - F.lit(n1 * (n + 1) / 2.0)) / F.lit((n1 * n2 * (n + 1) / 12.0) ** 0.5)
     return agg.select("feature_idx", r1.alias("rank_sum_1"), z.alias("w_stat"),
                       (F.col("_s1") / F.lit(n1)).alias("mean_rank_group_1"),

@@ -45,3 +45,14 @@ def test_split_read_prunes_partitions(spark):
 def test_region_fetch_is_equi_join(spark):
     p = plan(Q["join_region_sequence"](spark, SMALL))
     assert "NestedLoop" not in p and "Cartesian" not in p
+
+
+def test_stratified_sample_limits_before_shuffle(spark):
+    p = plan(Q["sample_species_uniform"](spark, SMALL))
+    assert "WindowGroupLimit" in p
+
+
+def test_rank_sum_has_no_window_over_a_feature(spark):
+    # mid-ranks come from (feature, score) counts; windows only run per partition or over partitions
+    p = plan(Q["stat_rank_sum"](spark, SMALL))
+    assert "NestedLoop" not in p and "Cartesian" not in p

@@ -67,8 +67,16 @@ def reduce_intervals(df: DataFrame, by: list[str], chrom: str = "chrom", start:
     x = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"),
                   *([F.col(group).alias("_g")] if group else []),
                   *([F.col(max_of).alias("_m")] if max_of else []))
+    # intervals sharing a start collapse first (map-side partial aggregation), so a window
+    # never holds more rows than its bin has positions, however many intervals pile up there
+    pre = [F.max("_e").alias("_e")]
+    if group:
+        pre.append(F.collect_set("_g").alias("_g"))
+    if max_of:
+        pre.append(F.max("_m").alias("_m"))
+    x = x.groupBy(*keys, "_s").agg(*pre)
     x = x.withColumn("_bin", F.floor(F.col("_s") / bin_size).cast("bigint"))
-    islands = _islands(x, keys + ["_bin"], gap)
+    islands = _islands(x, keys + ["_bin"], gap, already_sets=bool(group))
     # carry: furthest end of all earlier bins
     per_bin = islands.groupBy(*keys, "_bin").agg(F.max("_e").alias("_bmax"))
     wb = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -52,5 +52,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for written intermediates."""
+    import uuid
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{next(tempfile._get_candidate_names())}")
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")

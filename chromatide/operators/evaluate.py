@@ -38,10 +38,16 @@ def nearest_label(preds: DataFrame, labels: list | None = None, gt: str = "gt",
     return preds.withColumn("nearest", F.array_min(scored)["l"])
 
 
-def class_stats(df: DataFrame, gt: str = "gt", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
+def pair_counts(df: DataFrame, gt: str = "gt", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
+    """Rows per (by, truth, prediction): the one pass over the input every class metric starts from."""
+    return df.groupBy(*(by or []), gt, pred).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def class_stats(df: DataFrame, gt: str = "gt", pred: str = "pred", by: list[str] | None = None,
+                pair: DataFrame | None = None) -> DataFrame:
     """tp, fp, fn per class over the union of true and predicted classes."""
     by = by or []
-    pair = df.groupBy(*by, gt, pred).agg(F.count(F.lit(1)).alias("_n"))
+    pair = pair if pair is not None else pair_counts(df, gt, pred, by)
     as_pred = pair.select(*by, F.col(pred).alias("cls"),
                           F.when(F.col(gt) == F.col(pred), F.col("_n")).otherwise(0).alias("tp"),
                           F.when(F.col(gt) != F.col(pred), F.col("_n")).otherwise(0).alias("fp"),
@@ -60,12 +66,14 @@ def _ratio(a: Column, b: Column) -> Column:
 def macro_metrics(df: DataFrame, gt: str = "gt", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
     """Accuracy; macro precision/recall (undefined classes leave the mean); macro F1 (undefined = 0)."""
     by = by or []
-    st = class_stats(df, gt, pred, by)
+    pair = pair_counts(df, gt, pred, by)
+    st = class_stats(df, gt, pred, by, pair)
     macro = st.groupBy(*by).agg(
         F.avg(_ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("precision"),
         F.avg(_ratio(F.col("tp"), F.col("tp") + F.col("fn"))).alias("recall"),
         F.avg(F.coalesce(_ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))).alias("macro_f1"))
-    acc = df.groupBy(*by).agg(F.avg((F.col(gt) == F.col(pred)).cast("double")).alias("accuracy"))
+    hit = F.when(F.col(gt) == F.col(pred), F.col("_n")).otherwise(0)
+    acc = pair.groupBy(*by).agg((F.sum(hit) / F.sum("_n")).alias("accuracy"))
     return acc.join(macro, by) if by else _join_one(acc, macro)
 
 
@@ -122,9 +130,10 @@ def unmask(labels: Column) -> Column:
 
 def shift_preds(labels: Column, preds: Column) -> Column:
     """Prediction n-1 aligned with label n: preds[first_kept-1 : last_kept-1] (0-based)."""
-    idx = F.filter(F.transform(labels, lambda x, i: F.when(x != -100, i).otherwise(-1)), lambda i: i >= 0)
-    first, last = F.array_min(idx), F.array_max(idx)
-    return F.slice(preds, first, last - first)
+    kept = F.transform(labels, lambda x: x != -100)
+    first = F.array_position(kept, True) - 1                           # 0-based first kept
+    last = F.size(labels) - F.array_position(F.reverse(kept), True)    # 0-based last kept
+    return F.when(F.array_position(kept, True) == 0, F.slice(preds, 1, 0)).otherwise(F.slice(preds, first, last - first))
 
 
 def token_pairs(df: DataFrame, sample: str, labels: str = "labels", preds: str = "preds") -> DataFrame:

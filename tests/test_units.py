@@ -217,3 +217,8 @@ def test_jaro_vectorised_equals_scalar():
     assert list(strdist.jaro_batch(a, b)) == [strdist.jaro(x, y) for x, y in zip(a, b)]
     assert list(strdist.jaro_batch(a, b, True)) == [strdist.jaro_winkler(x, y) for x, y in zip(a, b)]
     assert strdist.damerau_levenshtein("ca", "abc") == 2
+
+
+def test_shift_with_no_kept_labels_is_empty(spark):
+    df = spark.createDataFrame([([-100, -100], [3, 4])], "labels array<int>, preds array<int>")
+    assert df.select(EV.shift_preds(F.col("labels"), F.col("preds"))).first()[0] == []

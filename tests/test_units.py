@@ -222,3 +222,20 @@ def test_jaro_vectorised_equals_scalar():
 def test_shift_with_no_kept_labels_is_empty(spark):
     df = spark.createDataFrame([([-100, -100], [3, 4])], "labels array<int>, preds array<int>")
     assert df.select(EV.shift_preds(F.col("labels"), F.col("preds"))).first()[0] == []
+
+
+def test_i_matrix_orientation_checked(spark, tmp_path):
+    from chromatide.sources import tables as IO
+    counts = spark.createDataFrame([(1, 10, 3), (2, 10, 1), (2, 30, 5)], "cell long, feature_idx long, n long")
+    feats = spark.createDataFrame([(10,), (20,), (30,)], "feature_idx long")
+    cells = spark.createDataFrame([(1,), (2,)], "cell long")
+    path = str(tmp_path / "mtx")
+    IO.write_mtx(counts, feats, cells, path)
+    coo, dims = IO.read_mtx(spark, path, "features_x_cells")
+    assert dims == (3, 2, 3)
+    assert sorted((r["cell"], r["feature"], r["n"]) for r in coo.collect()) == [("1", "10", 3), ("2", "10", 1), ("2", "30", 5)]
+    f = spark.read.text(f"{path}/features.tsv")
+    c = spark.read.text(f"{path}/barcodes.tsv")
+    assert IO.check_dims(dims, f, c, "features_x_cells").first()["ok"]
+    with pytest.raises(ValueError):
+        IO.check_dims(dims, f, c, "cells_x_features")

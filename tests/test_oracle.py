@@ -7,10 +7,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from chromatide.plans import registry
 from chromatide.plans.fixtures import TABLES
 from conftest import SMALL
 
-QUERIES = E.queries()
+registry.load_all()
+QUERIES = {k: v for k, v in E.queries().items() if k in registry.QUERIES}
 ORACLE = E.oracle_sql()
 
 

@@ -41,3 +41,55 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (feistel_shards(docs, ["doc_id", "size", "text_crc32"], SHARDS, SHARD_SEED)
             .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard")))
+
+
+# Fixed by the contract of the query: (host, path, verdict).
+URL_BASE = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+            ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+# The method's own rules, over the canonical form; they decide where no base rule fits.
+URL_GLOBS = ("*cheap-pills*^*", "*spam-*^*", "*casino*^*", "*.xxx^*", "*^*/login*", "*^*.exe")
+
+
+def _like(glob: str) -> str:
+    host, path = glob.split("^")
+    return f"('.' || host LIKE '{host.replace('*', '%')}' AND path LIKE '{path.replace('*', '%')}')"
+
+
+def _url_sql() -> str:
+    rules = sorted(URL_BASE, key=lambda r: -len(r[0] + r[1]))
+    fits = [(f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))", h + p, v) for h, p, v in rules]
+    rule = "".join(f" WHEN {c} THEN '{n}'" for c, n, _ in fits)
+    verdict = "".join(f" WHEN {c} THEN '{v}'" for c, _, v in fits)
+    block = " OR ".join(_like(g) for g in URL_GLOBS)
+    return f"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, CASE WHEN instr(rest, '/') > 0 THEN substr(rest, 1, instr(rest, '/') - 1) ELSE coalesce(rest, '') END AS raw_host,
+  CASE WHEN instr(rest, '/') > 0 THEN substr(rest, instr(rest, '/')) ELSE '' END AS path FROM r),
+u AS (SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM h)
+SELECT page_id, host, path, CASE{rule} END AS rule, CASE{verdict} WHEN {block} THEN 'block' ELSE 'allow' END AS verdict FROM u"""
+
+
+@query("op8_url_shift_and", _url_sql())
+def op8_url_shift_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL: the longest base rule, else the method's globs, else allow."""
+    from .urlglob import Rule, host_path_rule, judge_urls
+    base = [host_path_rule(h, p, v) for h, p, v in URL_BASE]
+    rules = base + [Rule(g, g, "block", rank=-1) for g in URL_GLOBS]
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    named = F.col("rule").isin([r.name for r in base])
+    return judged.select("page_id", "host", "path", F.when(named, F.col("rule")).alias("rule"), "verdict")
+
+
+@query("op9_secret_trigrams")
+def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole document, with a digest of the base spans and the list of all spans."""
+    from .secret_scan import BASE_RULES, find_secrets
+    base = [r.kind for r in BASE_RULES]
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    of_base = F.filter("secret_spans", lambda s: s["kind"].isin(base))
+    return found.select("doc_id", *[F.size(F.filter("secret_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base],
+                        F.sha2(joined(of_base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))

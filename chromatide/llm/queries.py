@@ -93,3 +93,11 @@ def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_base = F.filter("secret_spans", lambda s: s["kind"].isin(base))
     return found.select("doc_id", *[F.size(F.filter("secret_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base],
                         F.sha2(joined(of_base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
+
+
+@query("op6_simhash_golay")
+def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash component of every document: 4-word shingles, at most 4 differing bits."""
+    from .simhash import simhash_components
+    found = simhash_components(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

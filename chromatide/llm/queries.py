@@ -101,3 +101,21 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
     found = simhash_components(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_pack_islands")
+def op7_pack_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    import public_tokenizers
+    from .packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+@query("op5_ppm_language")
+def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    from .ppm import crc32_of_id, identify, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc32_of_id("doc_id") % 5 == 0
+    model = train(docs.where(~held_out))
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")

@@ -119,3 +119,17 @@ def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc32_of_id("doc_id") % 5 == 0
     model = train(docs.where(~held_out))
     return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+#: A document is rejected from this probability of being bad.
+REJECT_FROM = 0.5
+
+
+@query("op4_cotrain_quality")
+def op4_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being bad (toxic or of low quality) by both views, and the verdict."""
+    from .cotrain import score, train
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return (score(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)
+            .select("doc_id", "text_score", "page_score", "score", (F.col("score") < REJECT_FROM).alias("kept")))

@@ -133,3 +133,19 @@ def op4_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"))
     return (score(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)
             .select("doc_id", "text_score", "page_score", "score", (F.col("score") < REJECT_FROM).alias("kept")))
+
+
+@query("op3_positional_index")
+def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a 10-word window of a benchmark item."""
+    from .posindex import contamination
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op2_mcd_outliers")
+def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of base rule and robust distance."""
+    from .outliers import judge
+    return judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")

@@ -193,12 +193,8 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     return co_train([sample["t"].iloc[i] for i in order], [sample["p"].iloc[i] for i in order], sample["bad"].to_numpy(float)[order])
 
 
-def score(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """Add ``text_score``, ``page_score`` and ``score``: probabilities that the document is bad.
-
-    Every row is scored from its whole text and its metadata; nulls count as
-    empty values. Columns of those names are replaced, others pass through.
-    """
+def _judged(docs: DataFrame, model: CoTrained) -> DataFrame:
+    """``docs`` with the struct ``_j`` of both views' probabilities and the combined one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("text_score double, page_score double, score double")
@@ -209,6 +205,18 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
             p = m.page.logit(Csr([page_features(*x) for x in zip(lang, source, n_chars)]))
             yield pd.DataFrame(dict(zip(("text_score", "page_score", "score"), m.combine(t, p))))
 
-    docs = docs.drop("text_score", "page_score", "score")
-    judged = docs.withColumn("_j", judge("text", "lang", "source", F.col("n_chars").cast("double")))
-    return judged.select("*", "_j.*").drop("_j")
+    return docs.withColumn("_j", judge("text", "lang", "source", F.col("n_chars").cast("double")))
+
+
+def score(docs: DataFrame, model: CoTrained) -> DataFrame:
+    """Add ``text_score``, ``page_score`` and ``score``: probabilities that the document is bad.
+
+    Every row is scored from its whole text and its metadata; nulls count as
+    empty values. Columns of those names are replaced, others pass through.
+    """
+    return _judged(docs.drop("text_score", "page_score", "score"), model).select("*", "_j.*").drop("_j")
+
+
+def drop_bad(docs: DataFrame, model: CoTrained, reject_from: float) -> DataFrame:
+    """``docs`` without the rows whose combined probability of being bad reaches ``reject_from``; all columns stay."""
+    return _judged(docs, model).where(F.col("_j.score") < reject_from).select(*docs.columns)

@@ -149,3 +149,28 @@ def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .outliers import judge
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
+_LM_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+p AS (SELECT r, i, ws[i] AS w FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+u0 AS (SELECT w, count(*) AS n FROM p GROUP BY w),
+t AS (SELECT sum(n) AS total FROM u0),
+k AS (SELECT p.r, p.i, CASE WHEN u0.n >= 1e-6 * t.total THEN 'w' || p.w ELSE '' END AS w FROM p JOIN u0 USING (w), t),
+u AS (SELECT w, count(*) AS n FROM k GROUP BY w),
+b AS (SELECT k.r, k.i, k.w, lag(k.w) OVER (PARTITION BY k.r ORDER BY k.i) AS v FROM k),
+c AS (SELECT v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY v, w),
+s AS (SELECT b.r, CASE WHEN b.v IS NULL THEN 0 WHEN c.n >= 2 THEN 1 ELSE 0 END AS seen,
+  CASE WHEN b.v IS NULL THEN ln(uw.n / t.total) WHEN c.n >= 2 THEN ln(c.n / uv.n) ELSE ln(0.4 * uw.n / t.total) END AS x
+  FROM b JOIN u uw ON uw.w = b.w LEFT JOIN u uv ON uv.w = b.v LEFT JOIN c ON c.v = b.v AND c.w = b.w, t)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(sum(s.seen), 0) AS BIGINT) AS n_seen,
+  round(sum(s.x) / len(d.ws), 6) AS mean_log_score
+FROM d LEFT JOIN s ON s.r = d.r GROUP BY d.r, d.doc_id, d.ws"""
+
+
+@query("op1_stupid_backoff", _LM_SQL)
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean log score of a word, for every document under the counts of all documents."""
+    from .lm_score import score_documents
+    scored = score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "n_seen", F.round(F.col("log_score") / F.col("n_words"), 6).alias("mean_log_score"))

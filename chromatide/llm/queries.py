@@ -90,9 +90,11 @@ def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    of_base = F.filter("secret_spans", lambda s: s["kind"].isin(base))
-    return found.select("doc_id", *[F.size(F.filter("secret_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base],
-                        F.sha2(joined(of_base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
+    def of(kinds):
+        return F.filter("secret_spans", lambda s: s["kind"].isin(kinds))
+
+    return found.select("doc_id", *[F.size(of([k])).cast("long").alias(f"n_{k}") for k in base],
+                        F.sha2(joined(of(base)), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
 
 
 @query("op6_simhash_golay")

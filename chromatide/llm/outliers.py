@@ -20,6 +20,7 @@ VECTOR = {"v1": 0.15, "v2": 0.08, "v3": 0.5, "v4": 0.15}
 NAMES = list(VECTOR)
 #: Share of a group's rows that the estimate covers; concentration steps; smallest group with an estimate of its own.
 COVER, STEPS, LEAST_GROUP = 0.75, 4, 50
+BROADCAST_GROUPS = 20_000
 #: Rows beyond this quantile of the chi-square distribution of squared distances are rejected.
 CONFIDENCE = 0.9999
 
@@ -104,10 +105,10 @@ def _estimate(subset: DataFrame, factor: float) -> DataFrame:
     return out.withColumn("log_det", sum((F.log(f"l{i}{i}") for i in range(1, p)), F.log("l00"))).drop(*[f"c{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
+def _nearest(rows: DataFrame, side) -> DataFrame:
     """Rows within the COVER quantile of ``d2`` of their group and start."""
     cut = rows.groupBy("g", "start").agg(F.percentile_approx("d2", COVER, 10_000).alias("cut"))
-    return rows.join(cut, ["g", "start"]).where("d2 <= cut")
+    return rows.join(side(cut), ["g", "start"]).where("d2 <= cut")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -130,9 +131,10 @@ def mcd_distances(rows: DataFrame) -> DataFrame:
     spread over the tasks; estimates are one row for each group and start.
     """
     factor = COVER / _chi2_cdf(chi2_quantile(COVER, len(NAMES)), len(NAMES) + 2)
-    # The number of groups follows the data, so Spark picks the join by the table's size.
+    # Tables of one row for each group are broadcast while there are few groups, else joined by a shuffle.
+    side = F.broadcast if rows.select("g").distinct().count() <= BROADCAST_GROUPS else lambda x: x
     middle = rows.groupBy("g").agg(*[F.percentile_approx(v, 0.5, 10_000).alias(f"m{i}") for i, v in enumerate(NAMES)])
-    spread = rows.join(middle, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, v in enumerate(NAMES)])
+    spread = rows.join(side(middle), "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, v in enumerate(NAMES)])
     diagonal = middle.join(spread, "g").withColumn("start", F.lit(0))
     for i, v in enumerate(NAMES):
         for j in range(i + 1):
@@ -140,10 +142,10 @@ def mcd_distances(rows: DataFrame) -> DataFrame:
     classic = _estimate(rows.withColumn("start", F.lit(1)), 1.0)
     estimate = written(diagonal.withColumn("log_det", F.lit(0.0)).select(*classic.columns).unionByName(classic))
     for _ in range(STEPS):
-        measured = rows.join(estimate, "g").select("g", "start", *NAMES, _squared_distance().alias("d2"))
-        estimate = written(_estimate(_nearest(measured), factor))
+        measured = rows.join(side(estimate), "g").select("g", "start", *NAMES, _squared_distance().alias("d2"))
+        estimate = written(_estimate(_nearest(measured, side), factor))
     best = estimate.groupBy("g").agg(F.min_by(F.struct(*[c for c in estimate.columns if c != "g"]), F.struct("log_det", "start")).alias("e")).select("g", "e.*")
-    return rows.join(best, "g").withColumn("d2", _squared_distance()).select(*rows.columns, "d2")
+    return rows.join(side(best), "g").withColumn("d2", _squared_distance()).select(*rows.columns, "d2")
 
 
 def judge(docs: DataFrame) -> DataFrame:

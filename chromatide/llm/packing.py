@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -22,30 +24,59 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SPACE = re.compile(r"[ \t\n\r]+")
-#: Words kept in a worker's cache (token ids of one word: the tokenizer drops white space, so words are independent).
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: White space for str.split() but not for the tokenizer.
+ODD_SPACE, SPACE = re.compile(r"[\x1c-\x1f]"), re.compile(r"[ \t\n\r]+")
+#: A word of Latin letters and then marks: two pieces to the tokenizer, the first in lower case.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|*%&#$]*)")
+#: Entries of a worker's caches (the tokenizer drops white space, so words are independent), and the longest word kept.
+CACHE_WORDS, CACHE_PARTS, CACHE_CHARS, TEXTS_AT_ONCE = 400_000, 1_000_000, 64, 100
 BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4096, 3, 4, 2, 6
 
 
 class WordTokenizer:
-    """``encode`` of a tokenizer that drops white space, word by word with a bounded cache."""
+    """``encode`` of a lower-casing byte-level tokenizer that drops white space, word by word with bounded caches."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.to_byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one piece between the tokenizer's cuts."""
+        got = self.parts.get(part)
+        if got is None:
+            mapped = part if part.isascii() else self.to_byte_level.pre_tokenize_str(part)[0][0]
+            got = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+            if len(self.parts) >= CACHE_PARTS:
+                self.parts.clear()
+            if len(part) <= CACHE_CHARS:
+                self.parts[part] = got
+        return got
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        found, others = {}, []
+        for w in new:
+            m = PLAIN.fullmatch(w)
+            if m is None:
+                others.append(w)
+            else:
+                found[w] = self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            found[w] = array("I", e.ids).tobytes()
+        return found
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        known = self.known
-        for text in texts:
-            words = SPACE.split(text)
-            new = list({w for w in words if w not in known})
-            got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, got)}
-            known.update(fresh)
-            yield b"".join([known[w] for w in words])
+        """32-bit ids of each text, in the machine's byte order."""
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            split = [SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in texts[at:at + TEXTS_AT_ONCE]]
+            new = set().union(*split).difference(self.words)
+            self.words.update(self._learn(new))
+            known = self.words
+            for words in split:
+                yield b"".join([known[w] for w in words])
             if len(known) > CACHE_WORDS:
                 known.clear()
             else:
@@ -69,6 +100,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
         for part in parts:
             rows = []
             for doc_id, ids in zip(part["doc_id"], words.encode_batch(["" if t is None else t for t in part["text"]])):
+                if sys.byteorder != "little":
+                    ids = np.frombuffer(ids, "=u4").astype("<u4").tobytes()
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at:at + 4 * capacity]

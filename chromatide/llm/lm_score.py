@@ -10,7 +10,7 @@ by the pair, joined to the exploded pairs and summed for each document.
 from __future__ import annotations
 
 import math
-import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,18 +20,18 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, ROW_KEY, UPPER, row_key, written
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BACKOFF, LEAST_COUNT = 0.4, 2
 #: The vocabulary: words that make up at least this share of all words, so 2**20 - 1 at most. All others are one word (id 0).
 LEAST_SHARE, ID_BITS = 1e-6, 20
 #: Pairs of two words that each make up this share (1000 words at most) are counted map-side and held in memory;
 #: no other pair can be frequent enough to weigh on one task.
 HEAD_SHARE = 1e-3
-_ASCII = str.maketrans(UPPER, LOWER)
+_ASCII = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(_ASCII))
+def words_of(text: str | None) -> list[bytes]:
+    """UTF-8 words in ASCII lower case, between runs of 0x20 and 0x09 to 0x0D (what bytes.split() splits at)."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_ASCII).split()
 
 
 class Vocabulary:
@@ -41,7 +41,7 @@ class Vocabulary:
         counts = counts.sort_values(["n", "word"], ascending=[False, True], kind="stable")
         self.total = total
         self.count = np.concatenate([[total - int(counts["n"].sum())], counts["n"].to_numpy(np.int64)])
-        self.ids = {w: i + 1 for i, w in enumerate(counts["word"])}
+        self.ids = {bytes(w): i + 1 for i, w in enumerate(counts["word"])}
         self.head = self.count >= HEAD_SHARE * total
         with np.errstate(divide="ignore"):
             self.log_share = np.log(self.count / max(1, total))
@@ -64,11 +64,12 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     """Counts over all words of all ``docs``; only words above LEAST_SHARE, a bounded number, reach the driver."""
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            words = pd.Series([w for t in part["text"] for w in words_of(t)], dtype=object)
-            found = words.value_counts()
-            yield pd.DataFrame({"word": found.index, "n": found.to_numpy(np.int64)})
+            found: Counter = Counter()
+            for t in part["text"]:
+                found.update(words_of(t))
+            yield pd.DataFrame({"word": list(found), "n": np.fromiter(found.values(), np.int64, len(found))})
 
-    counts = written(docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = written(docs.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return Vocabulary(counts.where(F.col("n") >= LEAST_SHARE * total).toPandas(), total)
 
@@ -141,10 +142,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     # One exchange by the pair serves the count table and the join to it.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = docs.select(ROW_KEY, "text").mapInPandas(explode, f"key long, {ROW_KEY} long, n int").repartition(parts, "key")
-    counts = (pairs.groupBy("key").agg(F.sum("n").alias("c"), F.count(ROW_KEY).alias("_rows")).where(F.col("c") >= LEAST_COUNT)
-              .select("key", gain("key", "c").alias("gain")))
-    gained = (pairs.join(counts.hint("shuffle_hash"), "key")
+    pairs = docs.select(ROW_KEY, "text").mapInPandas(explode, f"key long, {ROW_KEY} long, n int")
+    pairs = pairs.where(F.col("key").isNotNull() & F.col(ROW_KEY).isNotNull()).repartition(parts, "key")   # the same filter for both uses
+    counts = (pairs.groupBy("key").agg(F.sum("n").alias("c"), F.count(ROW_KEY).alias("_rows")).where((F.col("c") >= LEAST_COUNT) & (F.col("_rows") > 0))   # reads both columns, so that the exchange is the join's
+              .select("key", "c"))
+    gained = (pairs.join(counts.hint("shuffle_hash"), "key").withColumn("gain", gain("key", "c"))
               .groupBy(ROW_KEY).agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.col("gain")).alias("gained")))
     scored = docs.withColumn("_b", base("text")).select("doc_id", ROW_KEY, "_b.*")
     each = scored.groupBy(ROW_KEY).agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("n_words", "n_seen", "score")])

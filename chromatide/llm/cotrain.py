@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 BITS = 18
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the fitting sample: labelled rows (the least hashes of doc_id) and unlabelled rows of the pool.
-LABELLED, POOL = 12_000, 4_000
+LABELLED, POOL = 8_000, 3_000
 ROUNDS, CONFIDENT, EXCHANGED = 3, 0.95, 400
 STEPS, RIDGE = 150, 1e-4
 #: Only features whose 2 x 2 chi-square against the label is at least this carry weight.
@@ -64,9 +64,9 @@ class Csr:
     """Rows of slot numbers; every feature is 0 or 1."""
 
     def __init__(self, rows: list[np.ndarray]):
-        self.index = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+        self.index = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
         self.size = np.array([len(r) for r in rows], np.int64)
-        self.row = np.repeat(np.arange(len(rows)), self.size)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), self.size)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.index], minlength=len(self.size))

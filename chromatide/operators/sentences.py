@@ -18,6 +18,7 @@ from chromatide.operators.common import global_position
 # Fixed value: marker for generated names outside the dictionary.
 NONSENSE = "NOT_A_GENE"
 CHAR_BASE = 19968  # first code point used for one-character feature codes
+SURROGATES, SURROGATE_COUNT, LAST_CODE_POINT = 0xD800, 0x800, 0x10FFFF
 
 
 def sentences(counts: DataFrame, seed: int = 42, cell: str = "cell", feature: str = "feature_idx",
@@ -53,9 +54,19 @@ def feature_rank(sent: DataFrame, feature_idx: int, invert: bool = False) -> Dat
 
 
 def symbols(col) -> Column:
-    """Feature indices as a string with one character per feature (code point 19968 + index)."""
+    """Feature indices as a string with one character per feature.
+
+    Code points from 19968 on, the surrogate range left out, so all planes are
+    used: 1,092,096 features. A larger index raises an error instead of sharing
+    a character with another feature.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.array_join(F.transform(c, lambda x: F.decode(F.unhex(F.lpad(F.hex(x + CHAR_BASE), 4, "0")), "UTF-16BE")), "")
+
+    def char(x):
+        code = x + CHAR_BASE + F.when(x + CHAR_BASE >= SURROGATES, SURROGATE_COUNT).otherwise(0)
+        code = F.when(code <= LAST_CODE_POINT, code).otherwise(F.raise_error(F.lit("feature index above 1092095")).cast("int"))
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.array_join(F.transform(c, char), "")
 
 
 def with_names(sent: DataFrame, vocab: DataFrame, col: str = "tokens") -> DataFrame:

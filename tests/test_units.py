@@ -239,3 +239,19 @@ def test_i_matrix_orientation_checked(spark, tmp_path):
     assert IO.check_dims(dims, f, c, "features_x_cells").first()["ok"]
     with pytest.raises(ValueError):
         IO.check_dims(dims, f, c, "cells_x_features")
+
+
+def test_symbols_beyond_the_first_plane(spark):
+    from pyspark.sql import functions as F
+    from chromatide.operators.sentences import symbols
+    ids = [0, 35_327, 35_328, 35_400, 45_568, 100_000, 100_001, 1_092_095]
+    df = spark.createDataFrame([(ids, [100_000], [100_001])], "t array<int>, a array<int>, b array<int>")
+    got = df.select(symbols("t").alias("t"), F.levenshtein(symbols("a"), symbols("b")).alias("d")).first()
+    assert len(got["t"]) == len(set(got["t"])) == len(ids) and got["d"] == 1
+
+
+def test_label_propagation_comes_to_rest(spark):
+    from chromatide.operators.distance import label_propagation
+    edges = spark.createDataFrame([(1, 2, 1.0), (3, 4, 1.0)], "a long, b long, jaccard double")
+    got = dict(label_propagation(edges, iterations=2).collect())
+    assert got[1] == got[2] and got[3] == got[4] and got[1] != got[3]

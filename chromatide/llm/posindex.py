@@ -81,8 +81,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, index: DataFrame, window:
                F.slice("w", F.greatest(c["diagonal"], F.lit(0)) + 1, c["m"]).alias("part")))).alias("c"))
            .select(ROW_KEY, "c.*").distinct())
     length = F.least(F.col("m"), F.lit(window))
+    # Only windows that lie whole in the item: near its end a slice of fewer words could equal a short text.
     same = F.filter(F.sequence(low, F.greatest(low, F.col("m") - length)), lambda s: (
-        F.slice("part", s - low + 1, length) == F.slice("words", s + 1, length)))
+        (s + length <= F.col("m")) & (F.slice("part", s - low + 1, length) == F.slice("words", s + 1, length))))
     return (cut.join(items, "ik")
             .select(ROW_KEY, "item_id", F.explode(same).alias("s"), "diagonal", length.alias("length"))
             .select(ROW_KEY, "item_id", (F.col("diagonal") + F.col("s")).alias("start"), "length"))

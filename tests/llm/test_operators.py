@@ -245,6 +245,8 @@ def test_language(spark, docs, none):
         assert np.allclose(model.code_lengths(text), [bits(x, text) for x in ("de", "en")], rtol=1e-5)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in ppm.identify(docs, model).collect()}
     assert got[0][0] == "en" and got[4] == got[3] == got[9] == ("und", 0.0)
+    odd = spark.createDataFrame([(0, "\u00b2 \u2167 \u00bd 12"), (1, "\u5b57")], "doc_id long, text string")   # number signs are no letters
+    assert [r["lang_pred"] == "und" for r in ppm.identify(odd, model).orderBy("doc_id").collect()] == [True, False]
     assert ppm.identify(docs, ppm.train(none)).where("lang_pred <> 'und'").count() == 0 and ppm.identify(none, model).count() == 0
 
 
@@ -278,6 +280,9 @@ def test_contamination(spark, docs, none):
                         found.add(str(i) if i is not None else "")
         want.append((str(d), len(w), len(hit), len(found), sorted(found), bool(hit)))
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["item_ids"], r["contaminated"]) for r in got) == sorted(want)
+    # texts shorter than a window: the tail or the head of an item is no window of it
+    ends = spark.createDataFrame([(0, " ".join(words[9:14])), (1, " ".join(words[3:9] * 3)), (2, " ".join(words[4:14])), (3, " ".join(words[3:12]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in posindex.contamination(ends, items).collect()} == {0: 0, 1: 0, 2: 10, 3: 0}
     assert posindex.contamination(docs, items.limit(0)).where("contaminated").count() == 0
     assert posindex.contamination(none, items).count() == 0 and posindex.drop_contaminated(docs, items).columns == docs.columns
     own, keyed = posindex.item_words(items.where("item_id = 1")), docs.select("text", posindex.row_key("doc_id", "text").alias("_rk")).distinct()

@@ -10,7 +10,6 @@ all code lengths are looked up in tables.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,6 @@ ORDER = 4
 #: Training texts for each language (the least hashes of doc_id), out of those of at most so many characters.
 TRAIN_DOCS, TRAIN_CHARS = 300, 50_000
 CHUNK = 1 << 17
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def _padded(text: str) -> np.ndarray:
@@ -147,7 +145,7 @@ def identify(docs: DataFrame, model: Ppm, text: str = "text") -> DataFrame:
         for part in parts:
             rows = []
             for t in part:
-                if not ppm.langs or t is None or not LETTER.search(t):
+                if not ppm.langs or t is None or not any(map(str.isalpha, t)):
                     rows.append(("und", 0.0))
                     continue
                 bits = ppm.code_lengths(t)

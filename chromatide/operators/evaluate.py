@@ -198,13 +198,18 @@ def correlations(tp: DataFrame, sample: str) -> DataFrame:
 
 # ---- scores, losses, AUROC ------------------------------------------------------------------
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for the row, not once for each element that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _log_sum_exp(a: Column) -> Column:
+    return _bind(F.array_max(a), lambda m: m + F.log(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + F.exp(v - m))))
+
+
 def softmax(arr: Column) -> Column:
-    """Softmax of a score array (max-shifted)."""
-    a = arr.cast("array<double>")
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda x: x / s)
+    """Softmax of a score array (max-shifted), in one pass for each of maximum, sum and result."""
+    return _bind(arr.cast("array<double>"), lambda a: _bind(_log_sum_exp(a), lambda z: F.transform(a, lambda x: F.exp(x - z))))
 
 
 def argmax(arr: Column) -> Column:
@@ -215,9 +220,7 @@ def argmax(arr: Column) -> Column:
 def cross_entropy(scores: Column, label: Column, double_softmax: bool = False) -> Column:
     """-log softmax(scores)[label]; with ``double_softmax`` the scores are softmax outputs first."""
     a = softmax(scores) if double_softmax else scores.cast("array<double>")
-    m = F.array_max(a)
-    lse = m + F.log(F.aggregate(F.transform(a, lambda x: F.exp(x - m)), F.lit(0.0), lambda acc, v: acc + v))
-    return lse - F.element_at(a, label + 1)
+    return _bind(a, lambda x: _log_sum_exp(x) - F.element_at(x, label + 1))
 
 
 def mse(a: Column, b: Column) -> Column:

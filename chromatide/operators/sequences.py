@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTIG_NAME = r"^chr[A-Za-z0-9]*$"
@@ -13,6 +13,8 @@ def filter_contigs(df: DataFrame, col: str = "contig") -> DataFrame:
     return df.where(F.col(col).rlike(CONTIG_NAME))
 
 CHUNK = 65_536
+#: Genome key of a chunk table that was built without one.
+ONE_GENOME = "genome"
 
 # Character tokenizer ids.  Specials 0..6, then the bases from 7.
 SPECIAL_TOKENS = ["[CLS]", "[SEP]", "[BOS]", "[MASK]", "[PAD]", "[RESERVED]", "[UNK]"]
@@ -31,7 +33,7 @@ def chunk_contigs(contigs: DataFrame, size: int = CHUNK, genome: str | None = No
     """
     n = F.length(seq)
     ids = F.sequence(F.lit(0), F.greatest(F.ceil(n / size).cast("int") - 1, F.lit(0)))
-    g = F.col(genome) if genome else F.lit("genome")
+    g = F.col(genome) if genome else F.lit(ONE_GENOME)
     return (contigs.where(n > 0)
             .select(g.alias("genome"), F.col(contig).alias("contig"), F.col(seq).alias("_s"),
                     F.explode(ids).alias("chunk_id"))
@@ -43,17 +45,25 @@ def contig_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("genome", "contig").agg(F.sum(F.length("seq")).cast("bigint").alias("contig_len"))
 
 
+def _genome_of(regions: DataFrame, genome: str | Column | None) -> Column:
+    """The genome of each region: the given column or value, else its column ``genome``, else :data:`ONE_GENOME`."""
+    if genome is None:
+        return F.col("genome") if "genome" in regions.columns else F.lit(ONE_GENOME)
+    return F.col(genome) if isinstance(genome, str) else genome
+
+
 def fetch(regions: DataFrame, chunks: DataFrame, id_col: str, start: str = "fetch_start",
           end: str = "fetch_end", contig: str = "contig", size: int = CHUNK,
-          genome: str | None = None) -> DataFrame:
+          genome: str | Column | None = None) -> DataFrame:
     """Bases of ``[start, end)`` (0-based, clipped to the contig) per region.
 
     A region touches 1-2 chunks: explode its chunk ids, equi-join on
     (genome, contig, chunk_id), cut each piece and concatenate in chunk order.
-    Regions outside the contig get the empty string.
+    Regions outside the contig get the empty string.  ``id_col`` is unique over
+    all genomes.  Chunks from ``read_fasta`` carry the file's stem as genome, so
+    their regions need a column ``genome`` or the argument (``F.lit(stem)``).
     """
-    g = F.col(genome) if genome else F.lit("genome")
-    r = regions.select(F.col(id_col).alias("_id"), g.alias("genome"), F.col(contig).alias("contig"),
+    r = regions.select(F.col(id_col).alias("_id"), _genome_of(regions, genome).alias("genome"), F.col(contig).alias("contig"),
                        F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"))
     rx = r.withColumn("chunk_id", F.explode(F.when(
         F.col("_e") > F.col("_s"),
@@ -68,10 +78,14 @@ def fetch(regions: DataFrame, chunks: DataFrame, id_col: str, start: str = "fetc
 
 
 def window_fixed(regions: DataFrame, chunks: DataFrame, length: int, id_col: str = "region_id",
-                 start: str = "start_pos", end: str = "end_pos", size: int = CHUNK) -> DataFrame:
-    """Q01: first ``length`` bases of the region, right-padded with N; ``truncated`` if the contig ended."""
+                 start: str = "start_pos", end: str = "end_pos", size: int = CHUNK,
+                 genome: str | Column | None = None) -> DataFrame:
+    """Q01: first ``length`` bases of the region, right-padded with N; ``truncated`` if the contig ended.
+
+    ``genome`` as in :func:`fetch`.
+    """
     want = F.least(F.col(end) - F.col(start), F.lit(length))
-    r = regions.select(id_col, "contig", F.col(start).alias("fetch_start"),
+    r = regions.select(id_col, _genome_of(regions, genome).alias("genome"), "contig", F.col(start).alias("fetch_start"),
                        (F.col(start) + F.greatest(want, F.lit(0))).alias("fetch_end"), want.alias("_want"))
     got = fetch(r, chunks, id_col, size=size)
     out = r.join(got, id_col)
@@ -80,20 +94,22 @@ def window_fixed(regions: DataFrame, chunks: DataFrame, length: int, id_col: str
 
 
 def window_random(regions: DataFrame, chunks: DataFrame, length, seed: int, id_col: str = "region_id",
-                  start: str = "start_pos", end: str = "end_pos", size: int = CHUNK) -> DataFrame:
+                  start: str = "start_pos", end: str = "end_pos", size: int = CHUNK,
+                  genome: str | Column | None = None) -> DataFrame:
     """Q02/Q03: training window with a seeded shift; N padding at both contig ends.
 
     Short region: shift in [-(L - len), 0]; left pad where the shifted start is
     below 0, right pad past the contig end.  Long region: offset in
     [0, len - L].  A window wholly outside the contig is all N
-    (``out_of_range``).  ``length`` may be a column (Q20).
+    (``out_of_range``).  ``length`` may be a column (Q20); ``genome`` as in
+    :func:`fetch`.
     """
     from chromatide.functions.seeded import seeded_hash
 
     L = F.col("_L")
-    lens = contig_lengths(chunks).select("contig", "contig_len")
-    r = regions.withColumn("_L", length if not isinstance(length, int) else F.lit(length)) \
-        .join(lens, "contig", "left").withColumn("contig_len", F.coalesce("contig_len", F.lit(0)))
+    r = regions.withColumn("genome", _genome_of(regions, genome)) \
+        .withColumn("_L", length if not isinstance(length, int) else F.lit(length)) \
+        .join(contig_lengths(chunks), ["genome", "contig"], "left").withColumn("contig_len", F.coalesce("contig_len", F.lit(0)))
     ilen = F.col(end) - F.col(start)
     h = seeded_hash(seed, id_col)
     short = ilen < L
@@ -114,11 +130,11 @@ def window_random(regions: DataFrame, chunks: DataFrame, length, seed: int, id_c
 
 
 def window_variable(regions: DataFrame, chunks: DataFrame, lo: int, hi: int, seed: int,
-                    id_col: str = "region_id", size: int = CHUNK) -> DataFrame:
+                    id_col: str = "region_id", size: int = CHUNK, genome: str | Column | None = None) -> DataFrame:
     """Q20: window length drawn per row in [lo, hi], then the Q02 window."""
     from chromatide.functions.seeded import seeded_hash
     L = (F.lit(lo) + seeded_hash(f"{seed}:len", id_col) % (hi - lo + 1)).cast("int")
-    return window_random(regions, chunks, L, seed, id_col, size=size)
+    return window_random(regions, chunks, L, seed, id_col, size=size, genome=genome)
 
 
 def revcomp(c) -> "F.Column":

@@ -76,11 +76,13 @@ class Inputs:
 
     @cached_property
     def regions(self) -> DataFrame:
-        p = self.table("part")
-        st = (F.col("p_partkey") * 37) % 1500
-        return p.select(F.col("p_partkey").alias("region_id"),
-                        F.concat(F.lit("chr"), (F.col("p_partkey") % 200).cast("string")).alias("contig"),
-                        st.alias("start_pos"), (st + F.col("p_size") * 40).alias("end_pos"))
+        """Regions over all contigs and their whole length: the contig by number, the start within its length."""
+        d = self.table("documents").select("doc_id", F.greatest(F.length("text"), F.lit(1)).cast("bigint").alias("_len"))
+        p = self.table("part").withColumn("doc_id", F.col("p_partkey") % max(1, d.count()))
+        st = (F.col("p_partkey") * 104729) % F.col("_len")
+        return p.join(d, "doc_id").select(F.col("p_partkey").alias("region_id"),
+                                          F.concat(F.lit("chr"), _s("doc_id")).alias("contig"),
+                                          st.alias("start_pos"), (st + F.col("p_size") * 40).alias("end_pos"))
 
     @cached_property
     def blacklist(self) -> DataFrame:
@@ -160,8 +162,10 @@ VIEW_SQL = {
     "contigs": "SELECT concat('chr', CAST(doc_id AS VARCHAR)) AS contig, "
                f"regexp_replace(translate(text,'{LETTERS}','{BASES}'),'[^ACGT]','N','g') AS seq, "
                "translate(text,'aeiourst','ACGTacgt') AS raw_seq FROM documents",
-    "regions": "SELECT p_partkey AS region_id, concat('chr', CAST(p_partkey % 200 AS VARCHAR)) AS contig, "
-               "(p_partkey*37) % 1500 AS start_pos, (p_partkey*37) % 1500 + p_size*40 AS end_pos FROM part",
+    "regions": "SELECT p_partkey AS region_id, concat('chr', CAST(doc_id AS VARCHAR)) AS contig, "
+               "(p_partkey*104729) % greatest(length(text), 1) AS start_pos, "
+               "(p_partkey*104729) % greatest(length(text), 1) + p_size*40 AS end_pos "
+               "FROM part JOIN documents ON doc_id = p_partkey % (SELECT COUNT(*) FROM documents)",
     "blacklist": "SELECT concat('chr', CAST(s_suppkey % 22 + 1 AS VARCHAR)) AS chrom, (s_suppkey*7919) % 200000 "
                  "AS start_pos, (s_suppkey*7919) % 200000 + 1500 AS end_pos FROM supplier",
     "hits": "SELECT l_orderkey AS q_name, l_linenumber AS line_no, l_partkey AS t_name, l_suppkey AS q_start, "

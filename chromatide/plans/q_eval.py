@@ -11,7 +11,6 @@ from chromatide.plans.registry import query
 
 STEP = 24          # classifier batch size
 SHORT = "CAST(2 + length(seq) % 3 AS INT)"
-NCLS = 10          # score dims taken from the embedding
 
 
 def mapped(i: Inputs):
@@ -235,6 +234,25 @@ def eval_r2(spark, sf):
     return _corr(spark, sf, "r2")
 
 
+def _mean_sql(cols):
+    return ", ".join(f"round(avg(CASE WHEN isnan({c}) THEN NULL ELSE {c} END), 6) AS {c}" for c in cols)
+
+
+MACRO, CORR = ["accuracy", "precision", "recall", "macro_f1"], ["pearson", "spearman", "r2"]
+
+
+@query("eval_token_means", views=("contigs",), sql=f"""SELECT * FROM
+({macro_sql(f"SELECT sample, y AS gt, p AS pred FROM ({aligned_sql(samples_sql())})", "sample")}
+ SELECT COUNT(*) AS n_samples, {_mean_sql(MACRO)} FROM acc JOIN mac USING (sample)) a,
+({corr_sql(samples_sql())} SELECT {_mean_sql(CORR)} FROM c) b""")
+def eval_token_means(spark, sf):
+    """E06-E09 as the report gives them: each metric's mean over the samples (undefined ones left out)."""
+    tp = E.token_pairs(token_samples(Inputs(spark, sf)), "sample")
+    per = E.macro_metrics(tp, "y", "p", ["sample"]).join(E.correlations(tp, "sample"), "sample", "left")
+    return per.agg(F.count(F.lit(1)).alias("n_samples"),
+                   *[F.round(F.avg(F.when(~F.isnan(c), F.col(c))), 6).alias(c) for c in MACRO + CORR])
+
+
 @query("eval_short_fallback", views=("contigs",), sql=corr_sql(short_samples_sql()) +
        " SELECT sample, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(r2, 6) AS r2 FROM c")
 def eval_short_fallback(spark, sf):
@@ -251,28 +269,32 @@ def eval_short_fallback(spark, sf):
 
 # ---- scores and vectors on the embeddings ------------------------------------------------
 
-SCORES = f"CAST(embedding[1:{NCLS}] AS DOUBLE[])"
-LSE = "(list_max({s}) + ln(list_sum(list_transform({s}, lambda x: exp(x - list_max({s}))))))"
-SOFTMAX = "list_transform({s}, lambda x: exp(x - list_max({s})) / list_sum(list_transform({s}, lambda z: exp(z - list_max({s})))))"
+SCORES = "CAST(embedding AS DOUBLE[])"      # one score for each dimension
+
+
+def softmax_sql(src: str) -> str:
+    """Rows of ``src`` (with scores ``s``) plus ``lse`` and the softmax ``sm``."""
+    return f"""SELECT *, list_transform(s, lambda x: exp(x - lse)) AS sm FROM (
+  SELECT *, mx + ln(list_sum(list_transform(s, lambda x: exp(x - mx)))) AS lse FROM (SELECT *, list_max(s) AS mx FROM ({src})))"""
+
+
+LOSS_SQL = softmax_sql(f"SELECT vec_id, label, {SCORES} AS s FROM logits")
 
 
 def _scores(i):
-    return i.logits.select("vec_id", "cell", "label", F.slice(F.col("embedding").cast("array<double>"), 1, NCLS).alias("s"),
-                           F.col("embedding").cast("array<double>").alias("embedding"))
+    return i.logits.select("vec_id", "cell", "label", F.col("embedding").cast("array<double>").alias("s"))
 
 
 @query("cls_softmax_argmax", views=("logits",), sql=f"""
-SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS pred, round(list_max({SOFTMAX.format(s='s')}), 6) AS p_max
-FROM (SELECT vec_id, {SCORES} AS s FROM logits)""")
+SELECT vec_id, CAST(list_position(s, mx) - 1 AS INTEGER) AS pred, round(list_max(sm), 6) AS p_max FROM ({LOSS_SQL})""")
 def cls_softmax_argmax(spark, sf):
     x = _scores(Inputs(spark, sf))
     return x.select("vec_id", E.argmax(F.col("s")).alias("pred"), F.round(F.array_max(E.softmax(F.col("s"))), 6).alias("p_max"))
 
 
 @query("eval_cross_entropy", views=("logits",), sql=f"""
-SELECT round(avg({LSE.format(s='s')} - s[label + 1]), 6) AS ce,
-       round(avg({LSE.format(s='sm')} - sm[label + 1]), 6) AS ce_double_softmax FROM
-  (SELECT label, s, {SOFTMAX.format(s='s')} AS sm FROM (SELECT label, {SCORES} AS s FROM logits))""")
+SELECT round(avg(once), 6) AS ce, round(avg(lse - s[label + 1]), 6) AS ce_double_softmax
+FROM ({softmax_sql(f"SELECT label, sm AS s, lse - s[label + 1] AS once FROM ({LOSS_SQL})")})""")
 def eval_cross_entropy(spark, sf):
     x = _scores(Inputs(spark, sf))
     return x.agg(F.round(F.avg(E.cross_entropy(F.col("s"), F.col("label"))), 6).alias("ce"),
@@ -281,15 +303,14 @@ def eval_cross_entropy(spark, sf):
 
 @query("eval_mse", views=("logits",), sql="""
 SELECT round(avg(list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / len(a)), 6) AS mse
-FROM (SELECT CAST(embedding[1:10] AS DOUBLE[]) AS a, CAST(embedding[11:20] AS DOUBLE[]) AS b FROM logits)""")
+FROM (SELECT CAST(embedding AS DOUBLE[]) AS a, list_reverse(CAST(embedding AS DOUBLE[])) AS b FROM logits)""")
 def eval_mse(spark, sf):
     x = _scores(Inputs(spark, sf))
-    return x.agg(F.round(F.avg(E.mse(F.slice("embedding", 1, 10), F.slice("embedding", 11, 10))), 6).alias("mse"))
+    return x.agg(F.round(F.avg(E.mse(F.col("s"), F.reverse("s"))), 6).alias("mse"))
 
 
 @query("eval_perplexity", views=("logits",), sql=f"""
-SELECT round(exp(avg({LSE.format(s='s')} - s[label + 1])), 6) AS perplexity, COUNT(*) AS n_tokens
-FROM (SELECT label, {SCORES} AS s FROM logits)""")
+SELECT round(exp(avg(lse - s[label + 1])), 6) AS perplexity, COUNT(*) AS n_tokens FROM ({LOSS_SQL})""")
 def eval_perplexity(spark, sf):
     x = _scores(Inputs(spark, sf)).select(E.cross_entropy(F.col("s"), F.col("label")).alias("loss"))
     return _r6(E.perplexity(x), ["perplexity"])
@@ -297,11 +318,11 @@ def eval_perplexity(spark, sf):
 
 @query("eval_auroc", views=("logits",), sql=f"""
 WITH x AS (SELECT c, s[c + 1] AS score, label = c AS pos FROM (SELECT label, {SCORES} AS s FROM logits),
-           (SELECT unnest(range(0, {NCLS})) AS c)),
+           (SELECT unnest(range(0, (SELECT max(len(embedding)) FROM logits))) AS c)),
  r AS (SELECT *, rank() OVER (PARTITION BY c ORDER BY score) + (COUNT(*) OVER (PARTITION BY c, score) - 1) / 2.0 AS mr FROM x)
 SELECT c AS cls, SUM(CASE WHEN pos THEN 1 ELSE 0 END) AS n_pos, SUM(CASE WHEN pos THEN 0 ELSE 1 END) AS n_neg,
   round((SUM(CASE WHEN pos THEN mr ELSE 0 END) - SUM(CASE WHEN pos THEN 1 ELSE 0 END) * (SUM(CASE WHEN pos THEN 1 ELSE 0 END) + 1) / 2.0)
-   / (SUM(CASE WHEN pos THEN 1 ELSE 0 END) * SUM(CASE WHEN pos THEN 0 ELSE 1 END)), 6) AS auroc FROM r GROUP BY c""")
+   / nullif(SUM(CASE WHEN pos THEN 1 ELSE 0 END) * SUM(CASE WHEN pos THEN 0 ELSE 1 END), 0), 6) AS auroc FROM r GROUP BY c""")
 def eval_auroc(spark, sf):
     x = _scores(Inputs(spark, sf))
     long = x.select("label", F.posexplode("s").alias("cls", "score")).select(

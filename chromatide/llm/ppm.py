@@ -18,10 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 ORDER = 4
 #: Training texts for each language (the least hashes of doc_id), out of those of at most so many characters.
 TRAIN_DOCS, TRAIN_CHARS = 300, 50_000
 CHUNK = 1 << 17
+#: More languages than this are joined by a shuffle.
+BROADCAST_LANGS = 20_000
 
 
 def _padded(text: str) -> np.ndarray:
@@ -121,8 +125,10 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", label: str = "lang", text
     usable = labelled.where(F.col(label).isNotNull() & (F.length(text) > 0) & (F.length(text) <= TRAIN_CHARS))
     usable = usable.select(F.col(label).alias("_l"), F.xxhash64(F.col(doc_id).cast("string"), F.lit(5)).alias("_h"), F.col(text).alias("_t"))
     # A share of the hashes thins each language to about twice the sample where it lies, then the least hashes are taken.
-    size = usable.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
-    thin = usable.join(size, "_l").where(F.pmod("_h", F.lit(1 << 31)) * F.col("_n") < F.lit(2 * TRAIN_DOCS * (1 << 31)))
+    # The sizes, one row for each language, are broadcast while there are few, so that no text moves before it is thinned.
+    size = written(usable.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")))
+    side = F.broadcast(size) if size.count() <= BROADCAST_LANGS else size
+    thin = usable.join(side, "_l").where(F.pmod("_h", F.lit(1 << 31)) * F.col("_n") < F.lit(2 * TRAIN_DOCS * (1 << 31)))
     order = Window.partitionBy("_l").orderBy("_h", F.xxhash64("_t"))
     sample = thin.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= TRAIN_DOCS)
     label, text = "_l", "_t"

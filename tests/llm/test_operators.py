@@ -319,6 +319,22 @@ def test_lm_edge_cases(docs, none):
     assert len({round(r["log_score"], 9) for r in got if r["doc_id"] in (0, 1)}) == 1
 
 
+def test_lm_counts_every_word(spark):
+    rng = np.random.default_rng(1)
+    # over 2 million words: words seen once or twice are under a millionth of them
+    texts = ["a b " * 1_200_000] + [" ".join(f"w{x}" for x in rng.integers(0, 300, 40)) + " b a rare pair rare pair" * (i % 3) for i in range(8)] + ["once", "a once2 b", "same1 same2", "same1 same2"]
+    words = [lm_score.words_of(t) for t in texts]
+    uni = collections.Counter(w for x in words for w in x)
+    two = collections.Counter(p for x in words for p in zip(x, x[1:]))
+    total = uni.total()
+    assert total > 2_000_000 and sum(n <= 2 for n in uni.values()) > 50
+    got = {r["doc_id"]: r for r in lm_score.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, x in enumerate(words):
+        want = np.log(uni[x[0]] / total) + sum(np.log(two[v, w] / uni[v]) if two[v, w] >= 2 else np.log(0.4 * uni[w] / total) for v, w in zip(x, x[1:]))
+        assert got[i]["n_words"] == len(x) and got[i]["n_seen"] == sum(two[p] >= 2 for p in zip(x, x[1:]))
+        assert np.isclose(got[i]["log_score"], want, rtol=1e-9)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "secrets", "pack"]

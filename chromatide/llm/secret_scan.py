@@ -31,13 +31,16 @@ BASE_RULES = (
     SecretRule("access", r"AKIA[A-Z0-9]+", 0, 20),
     SecretRule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+# A key runs to its END line if that comes before another BEGIN, else over the base64 lines (real or escaped line ends).
+_PEM_LINES = (r"(?:(?:(?:[\s\"',>#|]|\\[rn])*(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\r\n\\]*|[A-Za-z0-9+/=]{16,}))+"
+              r"(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t]*[A-Za-z0-9+/=]+(?![^\s\\\"']))?)?")
 MORE_RULES = (
-    SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    SecretRule("private_key", r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:(?:(?!-----BEGIN)[\s\S])*?-----END \1PRIVATE KEY-----|" + _PEM_LINES + ")"),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     SecretRule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     SecretRule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     SecretRule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}=*"),
-    SecretRule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    SecretRule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
 #: A longer text is a block of its own; the index of a block holds about so many bytes of text.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ LEAST_WORDS, REPEAT_PERCENT = 20, 30
 #: that is constant in most of a group (no symbol at all, say) must not make it singular.
 VECTOR = {"v1": 0.15, "v2": 0.08, "v3": 0.5, "v4": 0.15}
 NAMES = list(VECTOR)
-#: Share of a group's rows that the estimate covers; concentration steps; smallest group with an estimate of its own.
-COVER, STEPS, LEAST_GROUP = 0.75, 4, 50
+#: Share of a group's rows that the estimate covers (half: up to half of a group may be outliers); least fall of a log
+#: determinant that calls for another concentration step; smallest group with an estimate of its own.
+COVER, LEAST_FALL, LEAST_GROUP = 0.5, 1e-6, 50
 BROADCAST_GROUPS = 20_000
 #: Rows beyond this quantile of the chi-square distribution of squared distances are rejected.
 CONFIDENCE = 0.9999
@@ -89,13 +91,29 @@ def _squared_distance() -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0])
 
 
-def _estimate(subset: DataFrame, factor: float) -> DataFrame:
+def _products() -> dict[str, Column]:
+    p = len(NAMES)
+    out = {f"s{i}": F.col(v) for i, v in enumerate(NAMES)}
+    return out | {f"q{i}{j}": F.col(NAMES[i]) * F.col(NAMES[j]) for i in range(p) for j in range(i + 1)}
+
+
+def _sums(rows: DataFrame, *by: str) -> DataFrame:
+    """Per group and start (and ``by``): the number of rows ``m`` and the sums of the variables and of their products."""
+    return rows.groupBy("g", "start", *by).agg(F.count(F.lit(1)).cast("double").alias("m"), *[F.sum(c).alias(k) for k, c in _products().items()])
+
+
+def _estimate(sums: DataFrame, factor: float) -> DataFrame:
     """Per group and start: centre, Cholesky factor of the scatter (times ``factor``, floors added) and log determinant."""
     p = len(NAMES)
-    moments = [F.avg(v).alias(f"m{i}") for i, v in enumerate(NAMES)]
-    moments += [(F.coalesce(F.covar_pop(NAMES[i], NAMES[j]), F.lit(0.0)) * factor + (VECTOR[NAMES[i]] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
-                for i in range(p) for j in range(i + 1)]
-    out = subset.groupBy("g", "start").agg(*moments)
+    m = [F.col(f"s{i}") / F.col("m") for i in range(p)]
+    moments = [c.alias(f"m{i}") for i, c in enumerate(m)]
+    for i in range(p):
+        for j in range(i + 1):
+            scatter = F.col(f"q{i}{j}") / F.col("m") - m[i] * m[j]
+            moments.append((F.greatest(scatter, F.lit(0.0)) * factor + VECTOR[NAMES[i]] ** 2 if i == j else scatter * factor).alias(f"c{i}{j}"))
+    # one row each: the aggregate only keeps these terms out of the nested ones below, whose code would pass the JVM's limit
+    out = sums.select("g", "start", *moments)
+    out = out.groupBy("g", "start").agg(*[F.first(c).alias(c) for c in out.columns[2:]])
     for j in range(p):
         for i in range(j, p):
             rest = F.col(f"c{i}{j}")
@@ -106,9 +124,22 @@ def _estimate(subset: DataFrame, factor: float) -> DataFrame:
 
 
 def _nearest(rows: DataFrame, side) -> DataFrame:
-    """Rows within the COVER quantile of ``d2`` of their group and start."""
-    cut = rows.groupBy("g", "start").agg(F.percentile_approx("d2", COVER, 10_000).alias("cut"))
-    return rows.join(side(cut), ["g", "start"]).where("d2 <= cut")
+    """Sums over the share COVER of each group's and start's rows with the least ``d2``.
+
+    Rows that tie at the cut (exact copies) count with the weight that gives
+    the covered part its size, however many they are.
+    """
+    cut = rows.groupBy("g", "start").agg(F.percentile_approx("d2", COVER, 10_000).alias("cut"), F.count(F.lit(1)).alias("n"))
+    near = _sums(rows.join(side(cut), ["g", "start"]).where("d2 <= cut").withColumn("tie", F.col("d2") == F.col("cut")), "n", "tie")
+    names = ["m", *_products()]
+
+    def of(c, tie):
+        return F.sum(F.when(F.col("tie") == tie, F.col(c)).otherwise(0.0))
+    both = near.groupBy("g", "start", "n").agg(*[of(c, tie).alias(f"{c}_{int(tie)}") for c in names for tie in (False, True)])
+    size = COVER * F.col("n")
+    both = both.withColumn("w0", F.least(F.lit(1.0), size / F.greatest("m_0", F.lit(1.0))))
+    both = both.withColumn("w1", F.least(F.lit(1.0), F.greatest(F.lit(0.0), size - F.col("m_0")) / F.greatest("m_1", F.lit(1.0))))
+    return both.select("g", "start", *[(F.col("w0") * F.col(f"{c}_0") + F.col("w1") * F.col(f"{c}_1")).alias(c) for c in names])
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -125,9 +156,9 @@ def mcd_distances(rows: DataFrame) -> DataFrame:
     """Add ``d2``: squared robust distance of each row's vector (v1..v4) from its group's estimate.
 
     Two deterministic starts (medians and median deviations; mean and
-    covariance) take STEPS concentration steps each: estimate from the rows
-    nearest to the last estimate, measure again. The start with the smaller
-    determinant counts. Groups are only ever aggregated, so one of any size is
+    covariance) take concentration steps, until the determinant of no group
+    falls any more: estimate from the half of the rows nearest to the last
+    estimate, measure again. The start with the smaller determinant counts. Groups are only ever aggregated, so one of any size is
     spread over the tasks; estimates are one row for each group and start.
     """
     factor = COVER / _chi2_cdf(chi2_quantile(COVER, len(NAMES)), len(NAMES) + 2)
@@ -139,11 +170,22 @@ def mcd_distances(rows: DataFrame) -> DataFrame:
     for i, v in enumerate(NAMES):
         for j in range(i + 1):
             diagonal = diagonal.withColumn(f"l{i}{j}", F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + VECTOR[v] ** 2) if i == j else F.lit(0.0))
-    classic = _estimate(rows.withColumn("start", F.lit(1)), 1.0)
+    classic = _estimate(_sums(rows.withColumn("start", F.lit(1))), 1.0)
     estimate = written(diagonal.withColumn("log_det", F.lit(0.0)).select(*classic.columns).unionByName(classic))
-    for _ in range(STEPS):
-        measured = rows.join(side(estimate), "g").select("g", "start", *NAMES, _squared_distance().alias("d2"))
-        estimate = written(_estimate(_nearest(measured, side), factor))
+
+    def step(last: DataFrame) -> DataFrame:
+        measured = rows.join(side(last), "g").select("g", "start", *NAMES, _squared_distance().alias("d2"))
+        return _estimate(_nearest(measured, side), factor)
+
+    last, rested = written(step(estimate)), []
+    while True:   # only groups and starts that still move are measured again
+        moved = step(last).join(last.select("g", "start", F.col("log_det").alias("before")), ["g", "start"])
+        moved = written(moved.where(F.col("log_det") < F.col("before") - LEAST_FALL).drop("before"))
+        rested.append(last.join(moved, ["g", "start"], "left_anti"))
+        if moved.isEmpty():
+            break
+        last = moved
+    estimate = written(reduce(DataFrame.unionByName, rested))
     best = estimate.groupBy("g").agg(F.min_by(F.struct(*[c for c in estimate.columns if c != "g"]), F.struct("log_det", "start")).alias("e")).select("g", "e.*")
     return rows.join(side(best), "g").withColumn("d2", _squared_distance()).select(*rows.columns, "d2")
 

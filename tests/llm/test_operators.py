@@ -327,6 +327,19 @@ def test_statistics_and_outliers(spark, none):
     assert abs(outliers.chi2_quantile(0.95, 4) - 9.4877) < 1e-3
 
 
+def test_a_third_of_copies_is_rejected(spark):
+    rng = np.random.default_rng(2)
+    words = "fox jumps over lazy dogs while seven wizards brew potions beside bridges".split()
+    good = [" ".join(f"{w}{i}" for i, w in enumerate(rng.choice(words, 60))) for _ in range(200)]
+    copy = " ".join(f"{w}{i}$$$$$$$$$$$$" for i, w in enumerate(words * 3))
+    spread = [" ".join(f"{w}{i}" + "$" * int(n) for i, (w, n) in enumerate(zip(words * 3, rng.integers(10, 14, 36)))) for _ in range(100)]
+    for bad in ([copy] * 100, spread):
+        df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(good + bad)], "doc_id long, text string, lang string, source string")
+        got = {r["doc_id"]: r for r in outliers.judge(df).collect()}
+        assert not any(r["base_failed"] for r in got.values())
+        assert not any(got[i]["kept"] for i in range(200, 300)) and sum(got[i]["kept"] for i in range(200)) == 200
+
+
 def test_lm_edge_cases(docs, none):
     got = lm_score.score_documents(docs).collect()
     assert len(got) == len(rows()) and lm_score.score_documents(none).count() == 0

@@ -281,3 +281,12 @@ def test_orders_csv_layout(spark, tmp_path):
     write_orders(wide, str(tmp_path / "w"))
     back = sorted(tuple(r) for r in read_orders(spark, str(tmp_path / "w"), 2, with_cell=True).collect())
     assert back == [(7, "T", "x.h5ad", 1, "r2"), (7, "T", "x.h5ad", 2, "r1")]
+
+
+def test_kmer_hits_keep_frequent_tiles(spark):
+    seq = "ACCGTTAGCATGGCTAACTTGC"   # two tiles, each in more targets than one block holds
+    t = spark.createDataFrame([(f"t{i}", seq) for i in range(2100)], "contig string, seq string")
+    q = spark.createDataFrame([("q", seq)], "contig string, seq string")
+    got = H.kmer_hits(q, t).collect()
+    assert sorted(r["t_name"] for r in got) == sorted(f"t{i}" for i in range(2100))
+    assert all((r["n_seeds"], r["identity"], r["q_start"], r["q_end"]) == (2, 100.0, 0, 22) for r in got)

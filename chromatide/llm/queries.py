@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: thin digests of their results."""
+"""Registered queries of the operators: thin digests of their results."""
 
 from __future__ import annotations
 
@@ -176,3 +176,74 @@ def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import score_documents
     scored = score_documents(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "n_seen", F.round(F.col("log_score") / F.col("n_words"), 6).alias("mean_log_score"))
+
+
+@query("op11_piece_rounds")
+def op11_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text with an end id, and the text they decode to, as digests."""
+    import public_tokenizers
+    from .pieces import decode_ids, encode_texts
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model, end_id=2).select("doc_id", "ids")
+    return decode_ids(encoded, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+_BOND_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+  list_sum(list_transform(list_zip(a.q, r.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM (SELECT DISTINCT * FROM r WHERE vec_id % 100 = 0) a, r WHERE a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+  row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS slot FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.slot ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score WHERE p.slot <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
+@query("op12_bond_negatives", _BOND_SQL)
+def op12_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, within 0.3 to 0.9 of its first five positives' scores."""
+    from .bond import hard_negatives, quantized
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label)
+    return hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(1, length({c}) + 1), lambda i: CAST(ascii(substr({c}, i, 1)) AS BIGINT))),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+_TRIE_SQL = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(coalesce(role, '') || chr(0) || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, count(*) AS n, c - c % 20 AS base, {_CRC.format(c="CAST(c AS VARCHAR)")} % 4 AS h FROM t GROUP BY c),
+g AS (SELECT h.c, h.base, h.h, least(h.h, coalesce(b.n, 0)) AS taken, least(h.h, coalesce(b.n, 0)) + greatest(h.n - h.h, 0) AS size
+  FROM h LEFT JOIN h b ON b.c = h.base),
+r AS (SELECT t.c, t.pos - g.h + g.taken AS d, t.role, t.text, g.size FROM t JOIN g USING (c) WHERE t.pos > g.h
+  UNION ALL SELECT g.c, t.pos, t.role, t.text, g.size FROM g JOIN t ON t.c = g.base WHERE t.pos <= g.h),
+m AS (SELECT c, d, size, text, sha256(CAST(list((role, text)) OVER (PARTITION BY c ORDER BY d) AS VARCHAR)) AS k FROM r
+  UNION ALL SELECT c, 0, size, '', '' FROM g),
+u AS (SELECT d, k, min(c) AS conv_id, count(*) AS n, len(list_filter(regexp_split_to_array(any_value(text), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words,
+  string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = size) AS ends FROM m GROUP BY d, k),
+e AS (SELECT m.c, m.d, m.k, u.conv_id, u.n, lag(u.conv_id) OVER (PARTITION BY m.c ORDER BY m.d) AS up, lag(m.k) OVER (PARTITION BY m.c ORDER BY m.d) AS up_k,
+  CASE WHEN u.conv_id = m.c THEN (u.n - 1) * u.words ELSE 0 END AS own FROM m JOIN u ON u.d = m.d AND u.k = m.k),
+kids AS (SELECT d - 1 AS d, up_k AS k, count(DISTINCT k) AS n_children FROM e WHERE d > 0 GROUP BY 1, 2),
+x AS (SELECT e.d, e.k, e.conv_id, e.up, sum(e.own) OVER (PARTITION BY e.c ORDER BY e.d DESC) AS saved,
+  sum(CASE WHEN kids.k IS NULL AND e.conv_id = e.c THEN 1 ELSE 0 END) OVER (PARTITION BY e.c ORDER BY e.d DESC) AS leaves
+  FROM e LEFT JOIN kids ON kids.d = e.d AND kids.k = e.k)
+SELECT u.conv_id, CAST(u.d AS BIGINT) AS depth, any_value(x.up) AS parent_conv_id, u.n AS n_convs, coalesce(any_value(kids.n_children), 0) AS n_children,
+  CAST(sum(x.leaves) AS BIGINT) AS n_leaves, CAST(sum(x.saved) AS BIGINT) AS saved_tokens, sha256(coalesce(any_value(u.ends), '')) AS ends_sha256
+FROM u JOIN x ON x.d = u.d AND x.k = u.k LEFT JOIN kids ON kids.d = u.d AND kids.k = u.k GROUP BY u.d, u.k, u.conv_id, u.n"""
+
+
+@query("op13_prefix_trie", _TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    from .trie import numbered_turns, prefix_trie, shared_openings
+    return prefix_trie(shared_openings(numbered_turns(table(spark, sf_dir, "conversations"))))

@@ -22,8 +22,8 @@ SPACE = "▁"
 #: Kinds of a piece in the model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 NO_PAIR = np.iinfo(np.int32).max
-#: Characters that are worked on at once, and characters of words that a worker keeps before it starts anew.
-SLICE_CHARS, CACHE_CHARS = 1 << 20, 16_000_000
+#: Characters that are encoded and ids that are decoded at once, and characters of words that a worker keeps before it starts anew.
+SLICE_CHARS, SLICE_IDS, CACHE_CHARS = 1 << 19, 1 << 17, 4_000_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -225,14 +225,18 @@ class PieceModel:
         ids[np.repeat(odd, size)] = self.byte_id[np.frombuffer("".join(map(chr, codes[odd].tolist())).encode(), np.uint8)]
         return ids, np.bincount(word, weights=size, minlength=n).astype(np.int64)
 
+    def _shown(self, ids: np.ndarray) -> bytes:
+        """What the pieces show, one after the other."""
+        size = self.shown_size[ids]
+        ends = np.cumsum(size)
+        return self.shown[np.repeat(self.shown_at[ids] - (ends - size), size) + np.arange(ends[-1])].tobytes()
+
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         """Texts of the id lists of ``sizes`` that lie one after the other in ``ids``."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.pieces)):
             raise ValueError("an id lies outside the vocabulary")
-        size = self.shown_size[ids]
-        total = np.cumsum(size)
-        flat = self.shown[np.repeat(self.shown_at[ids] - (total - size), size) + np.arange(total[-1] if len(ids) else 0)].tobytes()
-        total = np.append(0, total)
+        flat = b"".join(self._shown(ids[at:at + SLICE_IDS]) for at in range(0, len(ids), SLICE_IDS))
+        total = np.append(0, np.cumsum(self.shown_size[ids]))
         ends = np.cumsum(sizes)
         hidden = np.append(0, np.cumsum(self.kinds[ids] == CONTROL))
         out = []

@@ -56,8 +56,11 @@ def test_long_words_and_slices(library, model, monkeypatch):
     want = library.encode(texts, num_threads=1)
     assert _encode(model, texts) == want
     monkeypatch.setattr(pieces, "SLICE_CHARS", 64)
+    monkeypatch.setattr(pieces, "SLICE_IDS", 50)
     monkeypatch.setattr(pieces, "CACHE_CHARS", 500)
     assert _encode(model, texts) == want
+    flat, sizes = pieces.TextEncoder(model).encode(texts)
+    assert model.decode(flat, sizes) == texts
 
 
 @given(st.text("abcd", min_size=1, max_size=14), st.permutations(["ab", "bc", "cd", "abc", "bcd", "abcd", "ca", "cab", "aa", "aaa", "da"]), st.booleans())

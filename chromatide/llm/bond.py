@@ -217,11 +217,10 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     def find_positives(block: Block, own: pd.DataFrame) -> pd.DataFrame:
         vectors = _matrix(own["q"].tolist()).T
         block.ready(vectors)
-        out = []
-        for anchor, vector, label, key in zip(own["anchor_id"], vectors, own["label"], own["akey"]):
-            ids, scores = first_of_label(block, vector, anchor, label, positives)
-            out.append(pd.DataFrame({"anchor_id": anchor, "akey": key, "positive_id": ids, "positive_score": scores}))
-        return pd.concat(out)
+        best = [first_of_label(block, v, a, label, positives) for a, v, label in zip(own["anchor_id"], vectors, own["label"])]
+        times = [len(ids) for ids, _ in best]
+        return pd.DataFrame({"anchor_id": np.repeat(own["anchor_id"], times), "akey": np.repeat(own["akey"], times),
+                             "positive_id": np.concatenate([ids for ids, _ in best]), "positive_score": np.concatenate([scores for _, scores in best])})
 
     found = _meet(blocks, n_blocks, anchors, n_anchor_blocks, find_positives, "anchor_id long, akey long, positive_id long, positive_score long")
     place = F.row_number().over(Window.partitionBy("anchor_id", "akey").orderBy(F.desc("positive_score"), "positive_id"))
@@ -233,15 +232,13 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     def find_negatives(block: Block, own: pd.DataFrame) -> pd.DataFrame:
         vectors = _matrix(own["q"].tolist()).T
         block.ready(vectors)
-        out = []
-        for anchor, vector, label, key, pids, scores in zip(own["anchor_id"], vectors, own["label"], own["akey"], own["pids"], own["pscores"]):
-            windows = [(-(-low * int(p) // of), high * int(p) // of) for p in scores]
-            best = first_in_windows(block, vector, label, windows, negatives)
-            for slot, (pid, p, (ids, own_scores)) in enumerate(zip(pids, scores, best)):
-                if len(ids):
-                    out.append(pd.DataFrame({"anchor_id": anchor, "akey": key, "slot": slot, "positive_id": pid, "positive_score": p,
-                                             "negative_id": ids, "negative_score": own_scores}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("anchor_id", "akey", "slot", "positive_id", "positive_score", "negative_id", "negative_score")})
+        best = []
+        for vector, label, scores in zip(vectors, own["label"], own["pscores"]):
+            best += first_in_windows(block, vector, label, [(-(-low * int(p) // of), high * int(p) // of) for p in scores], negatives)
+        pairs = own[["anchor_id", "akey"]].assign(slot=[range(len(p)) for p in own["pids"]], positive_id=own["pids"], positive_score=own["pscores"])
+        pairs = pairs.explode(["slot", "positive_id", "positive_score"], ignore_index=True)
+        found = pairs.loc[np.repeat(np.arange(len(pairs)), [len(ids) for ids, _ in best])]
+        return found.assign(negative_id=np.concatenate([ids for ids, _ in best]), negative_score=np.concatenate([scores for _, scores in best]))
 
     found = _meet(blocks, n_blocks, ready, n_anchor_blocks, find_negatives,
                   "anchor_id long, akey long, slot int, positive_id long, positive_score long, negative_id long, negative_score long")

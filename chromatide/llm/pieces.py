@@ -24,6 +24,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 NO_PAIR = np.iinfo(np.int32).max
 #: Characters that are encoded and ids that are decoded at once, and characters of words that a worker keeps before it starts anew.
 SLICE_CHARS, SLICE_IDS, CACHE_CHARS = 1 << 19, 1 << 17, 4_000_000
+#: Texts taken from an Arrow batch at once.
+ROWS_AT_ONCE = 256
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -84,6 +86,17 @@ class PieceModel:
     def _build(self, pieces: list[str], scores: list[float], kinds: list[int], dummy_prefix: bool) -> None:
         self.prefix = SPACE if dummy_prefix else ""
         self.pieces, self.kinds = pieces, np.array(kinds, np.int8)
+        self.scores = scores
+        shown = [b"" if k == CONTROL else bytes([int(p[1:-1], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN
+                 else p.replace(SPACE, " ").encode() for p, k in zip(pieces, kinds)]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_size = np.array([len(b) for b in shown], np.int64)
+        self.shown_at = np.cumsum(self.shown_size) - self.shown_size
+        self.starts_blank = np.array([k == NORMAL and p.startswith(SPACE) for p, k in zip(pieces, kinds)])
+
+    def prepare(self) -> PieceModel:
+        """Builds what encoding needs; decoding alone does without."""
+        pieces, scores = self.pieces, self.scores
         self.byte_id = np.zeros(256, np.int32)
         for i in np.flatnonzero(self.kinds == BYTE):
             self.byte_id[int(pieces[i][1:-1], 16)] = i
@@ -111,12 +124,7 @@ class PieceModel:
                     merges[a * self.n_symbols + b] = i
         self.merge_key = np.array(sorted(merges) or [-1], np.int64)
         self.merge_to = np.array([merges.get(k, -1) for k in self.merge_key.tolist()], np.int32)
-        shown = [b"" if k == CONTROL else bytes([int(p[1:-1], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN
-                 else p.replace(SPACE, " ").encode() for p, k in zip(pieces, kinds)]
-        self.shown = np.frombuffer(b"".join(shown), np.uint8)
-        self.shown_size = np.array([len(b) for b in shown], np.int64)
-        self.shown_at = np.cumsum(self.shown_size) - self.shown_size
-        self.starts_blank = np.array([k == NORMAL and p.startswith(SPACE) for p, k in zip(pieces, kinds)])
+        return self
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece, rank) of each pair of symbols; (-1, NO_PAIR) where the two make no piece."""
@@ -285,7 +293,7 @@ class TextEncoder:
     """Encodes texts by their words; words seen before are looked up, in a store of a bounded size."""
 
     def __init__(self, model: PieceModel):
-        self.model = model
+        self.model = model.prepare()
         self._forget()
 
     def _forget(self) -> None:
@@ -368,12 +376,19 @@ class TextEncoder:
         return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.array(counts, np.int64)
 
 
+_MODELS: dict[str, PieceModel] = {}
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
+def _model(path: str) -> PieceModel:
+    if path not in _MODELS:
+        _MODELS[path] = PieceModel(path)
+    return _MODELS[path]
+
+
 def _encoder(path: str) -> TextEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(PieceModel(path))
+        _ENCODERS[path] = TextEncoder(_model(path))
     return _ENCODERS[path]
 
 
@@ -399,7 +414,9 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", ids: str
     place = docs.columns.index(text)
 
     def make(batch: pa.RecordBatch) -> pa.Array:
-        flat, sizes = _encoder(model_path).encode(("" if t is None else t for t in batch.column(place).to_pylist()), end_id)
+        texts = batch.column(place)
+        some = (t or "" for at in range(0, len(texts), ROWS_AT_ONCE) for t in texts.slice(at, ROWS_AT_ONCE).to_pylist())
+        flat, sizes = _encoder(model_path).encode(some, end_id)
         offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
 
@@ -418,7 +435,12 @@ def decode_ids(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "
     def make(batch: pa.RecordBatch) -> pa.Array:
         lists = batch.column(place)
         sizes = np.array(lists.value_lengths().fill_null(0), np.int64)
-        texts = _encoder(model_path).model.decode(np.asarray(lists.flatten()), sizes)
+        flat, ends = np.asarray(lists.flatten()), np.append(0, np.cumsum(sizes))
+        texts: list[str] = []
+        while len(texts) < len(sizes):
+            first = len(texts)
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_IDS, side="right")) - 1)
+            texts += _model(model_path).decode(flat[ends[first]:ends[last]], sizes[first:last])
         return pa.array(texts, pa.string(), mask=np.asarray(lists.is_null()) if lists.null_count else None)
 
     return _with_column(docs, text, T.StringType(), make)

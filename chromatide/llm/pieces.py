@@ -95,7 +95,9 @@ class PieceModel:
         self.starts_blank = np.array([k == NORMAL and p.startswith(SPACE) for p, k in zip(pieces, kinds)])
 
     def prepare(self) -> PieceModel:
-        """Builds what encoding needs; decoding alone does without."""
+        """Builds what encoding needs, once; decoding alone does without."""
+        if hasattr(self, "merge_key"):
+            return self
         pieces, scores = self.pieces, self.scores
         self.byte_id = np.zeros(256, np.int32)
         for i in np.flatnonzero(self.kinds == BYTE):

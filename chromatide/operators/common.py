@@ -63,22 +63,30 @@ def ecdf(df: DataFrame, value: str, name: str = "percentile") -> DataFrame:
     return df.join(cdf.select(value, (F.col("_cum") / F.lit(float(total) or 1.0)).alias(name)), value)
 
 
-def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str,
-                exclusive: bool = False) -> DataFrame:
-    """Running sum of ``value`` within ``by`` in ``order`` (keys ``by + [order]`` unique).
+def in_order(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``df`` range-partitioned on ``by + [order]`` and written, with its partition in ``_pid``: input of :func:`scan`."""
+    return materialize(df.orderBy(*by, order).withColumn("_pid", F.spark_partition_id()))
+
+
+def scan(ordered: DataFrame, by: list[str], order: str, value: str, name: str, fold, exclusive: bool = False) -> DataFrame:
+    """Running ``fold`` (``F.sum`` or ``F.max``) of ``value`` within ``by`` in ``order`` (keys ``by + [order]`` unique).
 
-    The frame is range-partitioned on ``by + [order]``, so one key of ``by``
-    holding most rows is still spread over many partitions.  Each partition
-    sums locally; totals per (partition, key) - one small row each - give the
-    amount carried in from earlier partitions.
+    One key of ``by`` holding most rows is still spread over many partitions.
+    Each partition folds locally; what earlier partitions hold of a key - one
+    small row for each partition - is carried in.  Nulls do not count.
     """
-    tagged = materialize(df.orderBy(*by, order).withColumn("_pid", F.spark_partition_id()))
     w = Window.partitionBy("_pid", *by).orderBy(order)
     frame = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    local = tagged.withColumn("_loc", F.coalesce(F.sum(value).over(frame), F.lit(0)))
-    per = tagged.groupBy("_pid", *by).agg(F.sum(value).alias("_tot"))
+    local = ordered.withColumn("_loc", fold(value).over(frame))
+    per = ordered.groupBy("_pid", *by).agg(fold(value).alias("_tot"))
     wc = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select("_pid", *by, F.coalesce(F.sum("_tot").over(wc), F.lit(0)).alias("_car"))
-    return (local.join(carry, ["_pid", *by])
-            .withColumn(name, F.col("_loc") + F.col("_car"))
-            .drop("_pid", "_loc", "_car"))
+    carry = per.select("_pid", *by, fold("_tot").over(wc).alias("_car"))
+    zero = F.lit(0)
+    total = F.coalesce("_loc", zero) + F.coalesce("_car", zero) if fold is F.sum else F.greatest("_loc", "_car")
+    return local.join(carry, ["_pid", *by]).withColumn(name, total).drop("_loc", "_car")
+
+
+def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str,
+                exclusive: bool = False) -> DataFrame:
+    """Running sum of ``value`` within ``by`` in ``order`` (keys ``by + [order]`` unique); see :func:`scan`."""
+    return scan(in_order(df, by, order), by, order, value, name, F.sum, exclusive).drop("_pid")

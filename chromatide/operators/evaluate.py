@@ -2,9 +2,8 @@
 
 Class statistics come from one ``groupBy(gt, pred)`` (at most classes^2
 rows); everything after that works on that small table.  Per-sample token
-metrics group by sample, then by sample and token.  The label set used for
-nearest-label matching and the class list of the confusion grid are class
-dictionaries: their size is checked before they are used as literals.
+metrics group by sample, then by sample and token.  Labels are matched by
+joins; no class list is collected.
 """
 
 from __future__ import annotations
@@ -13,29 +12,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromatide.operators.common import running_sum
+from chromatide.operators.distance import pairs
 
-MAX_CLASSES = 10_000
 NAN = float("nan")
+GRAM = 2  # length of the letter groups that labels and predictions meet by
 
 
-def _classes(df: DataFrame, *cols: str) -> list:
-    vals = None
-    for c in cols:
-        v = df.select(F.col(c).alias("c")).where(F.col("c").isNotNull())
-        vals = v if vals is None else vals.union(v)
-    vals = vals.distinct()
-    n = vals.count()
-    if n > MAX_CLASSES:
-        raise ValueError(f"{n} classes exceed the bound {MAX_CLASSES} for a class dictionary")
-    return sorted(r["c"] for r in vals.collect())
+def _classes(df: DataFrame, *cols: str) -> DataFrame:
+    """The distinct values of ``cols`` but null, as a table with the column ``c``."""
+    return df.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("c")).where(F.col("c").isNotNull()).distinct()
+
+
+def _given(df: DataFrame, values: list | None, *cols: str) -> DataFrame:
+    if values is None:
+        return _classes(df, *cols)
+    return df.sparkSession.createDataFrame([(v,) for v in values if v is not None], "c string").distinct()
 
 
 def nearest_label(preds: DataFrame, labels: list | None = None, gt: str = "gt", pred: str = "pred") -> DataFrame:
-    """Map each prediction to the ground-truth label with least edit distance (ties: label text asc)."""
-    labels = labels if labels is not None else _classes(preds, gt)
-    arr = F.array(*[F.lit(x) for x in labels])
-    scored = F.transform(arr, lambda l: F.struct(F.levenshtein(F.col(pred), l).alias("d"), l.alias("l")))
-    return preds.withColumn("nearest", F.array_min(scored)["l"])
+    """Map each prediction to the ground-truth label with least edit distance (ties: label text asc).
+
+    Works on the distinct predictions and labels.  1. Labels that share a letter
+    pair with the prediction are compared.  2. A label without a common pair
+    differs in at least (longer length - 1) / 2 letters, and any label by the
+    difference of the lengths; only predictions whose best distance so far leaves
+    room for that meet the labels of the lengths still possible.  The shortest
+    label bounds predictions without any common pair.  A null prediction, or no
+    label at all, gives a null ``nearest``.
+    """
+    known = _given(preds, labels, gt).select(F.col("c").alias("l"))
+    asked = preds.select(F.col(pred).alias("p")).where(F.col("p").isNotNull()).distinct()
+
+    def grams(c: str) -> Column:
+        places = F.when(F.length(c) >= GRAM, F.sequence(F.lit(1), F.length(c) - GRAM + 1)).otherwise(F.array().cast("array<int>"))
+        return F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col(c), i, F.lit(GRAM)))))
+
+    scored = F.struct(F.levenshtein("p", "l").alias("d"), F.col("l").alias("l"))
+    met = asked.select("p", grams("p").alias("g")).join(known.select("l", grams("l").alias("g")), "g").select("p", "l").distinct()
+    first = met.groupBy("p").agg(F.min(scored).alias("_near"))
+    shortest = known.agg(F.min(F.length("l"))).first()[0]
+    if shortest is None:
+        return preds.withColumn("nearest", F.lit(None).cast("string"))
+    longest = F.greatest(F.length("p"), F.lit(shortest))
+    bounds = asked.join(first, "p", "left").withColumn("_d", F.least(F.coalesce("_near.d", longest), longest))
+    reach = GRAM * F.col("_d") + GRAM - 1  # longest strings without a common group at this distance
+    low, high = F.greatest(F.length("p") - F.col("_d"), F.lit(0)), F.least(F.length("p") + F.col("_d"), reach)
+    open_ = bounds.where((F.length("p") <= reach) & (low <= high))
+    second = (open_.select("p", F.explode(F.sequence(low, high)).alias("n")).join(known.withColumn("n", F.length("l")), "n")
+              .groupBy("p").agg(F.min(scored).alias("_far")))
+    found = bounds.join(second, "p", "left").select(F.col("p").alias("_p"), F.least("_near", "_far")["l"].alias("nearest"))
+    return preds.join(found, preds[pred] == found["_p"], "left").drop("_p")
 
 
 def pair_counts(df: DataFrame, gt: str = "gt", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
@@ -83,12 +109,13 @@ def _join_one(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def confusion(df: DataFrame, classes: list | None = None, gt: str = "gt", pred: str = "pred") -> DataFrame:
-    """Dense confusion counts over all classes (rows = truth)."""
-    classes = classes if classes is not None else _classes(df, gt, pred)
-    arr = F.array(*[F.lit(c) for c in classes])
+    """Dense confusion counts over all classes (rows = truth).
+
+    The grid of all class pairs is the result itself; it is made block by block.
+    """
     counts = df.groupBy(F.col(gt).alias("truth"), F.col(pred).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-    grid = counts.sparkSession.range(1).select(F.explode(arr).alias("truth")).select(
-        "truth", F.explode(arr).alias("predicted"))
+    seen = _given(counts, classes, "truth", "predicted")
+    grid = pairs(seen, "c", symmetric=False).select(F.col("c_i").alias("truth"), F.col("c_j").alias("predicted"))
     return grid.join(counts, ["truth", "predicted"], "left").fillna(0, ["n"])
 
 
@@ -264,14 +291,14 @@ def fit_centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
     return mean_pool(df, label, vec)
 
 
-def score_centroids(df: DataFrame, centroids: DataFrame, label: str, vec: str) -> DataFrame:
+def score_centroids(df: DataFrame, centroids: DataFrame, label: str, vec: str, most: int = 10_000) -> DataFrame:
     """M12 score: nearest centroid by Euclidean distance, ties to the smaller class.
 
-    The fitted model (classes x dims, size checked) is applied as a literal,
-    like any fitted model's parameters.
+    The fitted model (classes x dims) is applied as a literal, like any fitted
+    model's parameters; at most ``most`` classes.
     """
-    rows = centroids.collect() if centroids.count() <= MAX_CLASSES else None
-    if rows is None:
+    rows = centroids.limit(most + 1).collect()
+    if len(rows) > most:
         raise ValueError("too many classes for a centroid model")
     cents = F.array(*[F.struct(F.lit(r[label]).alias("c"), F.array(*[F.lit(float(v)) for v in r[vec]]).alias("v"))
                       for r in rows])

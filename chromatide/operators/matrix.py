@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromatide.operators.common import ecdf, global_position
+from chromatide.operators.svd import truncated_svd
 
 
 def topk(counts: DataFrame, k: int | None = 100, cell: str = "cell", feature: str = "feature_idx",
@@ -110,69 +111,9 @@ def tfidf(counts: DataFrame, scale: float = 1e4) -> DataFrame:
             .select("cell", "feature_idx", v.alias("tfidf")))
 
 
-def svd(values: DataFrame, k: int = 50, value: str = "tfidf", local_limit: int = 4096) -> DataFrame:
-    """Truncated SVD of the sparse cell x feature matrix (``RowMatrix.computeSVD``).
-
-    Rows are built per cell as sparse vectors over a dense feature position;
-    up to ``local_limit`` features the Gramian is aggregated distributed and
-    decomposed on the driver (a bounded n x n matrix), above it the Lanczos
-    products run distributed.  Components are ordered by singular
-    value and their sign fixed so the largest |loading| is positive.  Output is
-    long: ``(cell, component, value)`` with value = (U * S)[cell, component].
-    """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    from pyspark import StorageLevel
-    import numpy as np
-
-    spark = values.sparkSession
-    values = values.select("cell", "feature_idx", value).persist(StorageLevel.MEMORY_AND_DISK)
-    feats = global_position(values.select("feature_idx").distinct(), [F.col("feature_idx")], "_fpos", 0) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    n_feat = feats.count()
-    rows = (values.join(feats, "feature_idx")
-            .groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("_fpos", value))).alias("_e")))
-    rdd = rows.rdd.map(lambda r: IndexedRow(int(r["cell"]), Vectors.sparse(
-        n_feat, [int(e[0]) for e in r["_e"]], [float(e[1]) for e in r["_e"]]))).persist(StorageLevel.MEMORY_AND_DISK)
-    rdd.count()
-    values.unpersist()
-    feats.unpersist()
-    if n_feat <= local_limit:
-        # small feature space: Gramian (n_feat^2, bounded by local_limit) summed from per-partition
-        # numpy X^T X blocks, then a local eigendecomposition
-        def partial_gram(it):
-            vecs = [r.vector for r in it]
-            if not vecs:
-                return []
-            x = np.zeros((len(vecs), n_feat))
-            for i, v in enumerate(vecs):
-                x[i, v.indices] = v.values
-            return [x.T @ x]
-
-        gram = rdd.mapPartitions(partial_gram).treeReduce(lambda a, b: a + b, depth=2)
-        w, vecs = np.linalg.eigh(gram)
-        order = np.argsort(-w)[:min(k, n_feat)]
-        v = vecs[:, order]
-        s = np.sqrt(np.clip(w[order], 0, None))
-        keep = s > 1e-12 * max(s.max(), 1e-300)
-        v, s = v[:, keep], s[keep]
-        signs = np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] >= 0, 1.0, -1.0)
-        bv = spark.sparkContext.broadcast(v * signs)
-        out = rdd.flatMap(lambda r: [(int(r.index), j + 1, float(x)) for j, x in enumerate(r.vector.dot(bv.value))])
-    else:
-        # large feature space: distributed Lanczos (each step reads the persisted rows once)
-        mat = IndexedRowMatrix(rdd)
-        kk = min(k, n_feat, max(1, mat.numRows()))
-        res = mat.computeSVD(kk, computeU=True)
-        s = res.s.toArray()
-        v = res.V.toArray()
-        signs = [1.0 if v[abs(v[:, j]).argmax(), j] >= 0 else -1.0 for j in range(v.shape[1])]
-        scale = [float(s[j] * signs[j]) for j in range(len(s))]
-        bscale = spark.sparkContext.broadcast(scale)
-        out = res.U.rows.flatMap(lambda r: [(int(r.index), j + 1, float(r.vector[j]) * bscale.value[j])
-                                            for j in range(len(bscale.value))])
-    return spark.createDataFrame(out, "cell long, component int, value double")
+def svd(values: DataFrame, k: int = 50, value: str = "tfidf") -> DataFrame:
+    """Truncated SVD of the sparse cell x feature matrix, long form; see :func:`~chromatide.operators.svd.truncated_svd`."""
+    return truncated_svd(values, k, value=value)
 
 
 def lsi_dims(emb: DataFrame, col: str = "embedding", first: int = 2, last: int = 50) -> DataFrame:

@@ -1,10 +1,9 @@
 """Genomic intervals: overlap joins, interval merging, coverage pile-up, tiling, BED6.
 
-Nothing here runs a window over a whole chromosome.  Interval merging and the
-coverage running sum are computed per (chrom, bin) and only the few pieces
-that cross a bin boundary are resolved in a second, much smaller pass, so a
-chromosome (or a group) holding a third of all rows is still split across
-many tasks.
+Nothing here runs a window over a whole chromosome.  Interval merging is a pair
+of running maxima over range partitions; the coverage running sum is computed
+per (chrom, bin) with a carry per bin.  So a chromosome, a group or one long
+interval that holds a third of all rows is still split across many tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromatide.operators.common import global_position
+from chromatide.operators.common import global_position, in_order, scan
 
 BIN = 1_000_000
 
@@ -50,8 +49,7 @@ def setdiff_index(index: DataFrame, hits: DataFrame, key: str) -> DataFrame:
 
 
 def reduce_intervals(df: DataFrame, by: list[str], chrom: str = "chrom", start: str = "start_pos",
-                     end: str = "end_pos", group: str | None = None, gap: int = 1,
-                     bin_size: int = BIN, max_of: str | None = None) -> DataFrame:
+                     end: str = "end_pos", group: str | None = None, gap: int = 1, max_of: str | None = None) -> DataFrame:
     """Merge intervals that overlap or lie within ``gap`` of each other.
 
     Closed coordinates; ``gap=1`` merges book-ended ranges like GenomicRanges
@@ -59,59 +57,29 @@ def reduce_intervals(df: DataFrame, by: list[str], chrom: str = "chrom", start:
     distinct values of ``group``) when ``group`` is given, and ``max_<col>`` when
     ``max_of`` names a column to carry as a maximum.
 
-    Level 1 merges inside (by, chrom, bin of start).  Level 2 only looks at
-    level-1 runs that may touch another bin: the run reaching furthest in its
-    bin, and runs starting before the furthest end carried from earlier bins.
+    Two running maxima over range partitions, carried from one to the next: the
+    furthest end so far tells where a merged interval starts, and the latest of
+    these starts names the interval a row belongs to.  An interval that spans a
+    whole chromosome is folded by partial aggregates, never in one window.
     """
     keys = by + [chrom]
     x = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"),
                   *([F.col(group).alias("_g")] if group else []),
                   *([F.col(max_of).alias("_m")] if max_of else []))
-    # intervals sharing a start collapse first (map-side partial aggregation), so a window
-    # never holds more rows than its bin has positions, however many intervals pile up there
-    pre = [F.max("_e").alias("_e")]
+    # intervals sharing a start collapse first (map-side partial aggregation): starts are then unique keys
+    first = [F.max("_e").alias("_e"), *([F.collect_set("_g").alias("_g")] if group else []), *([F.max("_m").alias("_m")] if max_of else [])]
+    x = scan(in_order(x.groupBy(*keys, "_s").agg(*first), keys, "_s"), keys, "_s", "_e", "_reach", F.max, exclusive=True)
+    opens = F.col("_reach").isNull() | (F.col("_s") > F.col("_reach") + gap)
+    x = scan(x.withColumn("_open", F.when(opens, F.col("_s"))), keys, "_s", "_open", "_isl", F.max)
+    out = x.groupBy(*keys, F.col("_isl").alias(start)).agg(
+        F.max("_e").alias(end), *([F.max("_m").alias(f"max_{max_of}")] if max_of else []))
     if group:
-        pre.append(F.collect_set("_g").alias("_g"))
-    if max_of:
-        pre.append(F.max("_m").alias("_m"))
-    x = x.groupBy(*keys, "_s").agg(*pre)
-    x = x.withColumn("_bin", F.floor(F.col("_s") / bin_size).cast("bigint"))
-    islands = _islands(x, keys + ["_bin"], gap, already_sets=bool(group))
-    # carry: furthest end of all earlier bins
-    per_bin = islands.groupBy(*keys, "_bin").agg(F.max("_e").alias("_bmax"))
-    wb = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    per_bin = per_bin.withColumn("_carry", F.max("_bmax").over(wb))
-    islands = islands.join(per_bin, keys + ["_bin"])
-    touches = (((F.col("_e") == F.col("_bmax")) & (F.col("_e") + gap >= (F.col("_bin") + 1) * bin_size))
-               | (F.col("_carry").isNotNull() & (F.col("_s") <= F.col("_carry") + gap)))
-    final = islands.where(~touches)
-    cross = _islands(islands.where(touches).drop("_bmax", "_carry"), keys, gap, already_sets=bool(group))
-    cols = keys + ["_s", "_e"] + (["_g"] if group else []) + (["_m"] if max_of else [])
-    out = final.select(*cols).unionByName(cross.select(*cols))
-    out = out.withColumnRenamed("_s", start).withColumnRenamed("_e", end)
-    if group:
-        out = out.withColumn("_g", F.array_sort("_g")).withColumnRenamed("_g", "groups")
-    if max_of:
-        out = out.withColumnRenamed("_m", f"max_{max_of}")
+        sets = x.select(*keys, F.col("_isl").alias(start), F.explode("_g").alias("_g")).groupBy(*keys, start).agg(F.array_sort(F.collect_set("_g")).alias("groups"))
+        empty = F.array().cast(sets.schema["groups"].dataType)
+        out = out.join(sets, [*keys, start], "left").withColumn("groups", F.coalesce("groups", empty))
     return out
 
 
-def _islands(x: DataFrame, part: list[str], gap: int, already_sets: bool = False) -> DataFrame:
-    prev = Window.partitionBy(*part).orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*part).orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, 0)
-    pm = F.max("_e").over(prev)
-    x = x.withColumn("_new", F.when(pm.isNull() | (F.col("_s") > pm + gap), 1).otherwise(0))
-    x = x.withColumn("_isl", F.sum("_new").over(upto))
-    aggs = [F.min("_s").alias("_s"), F.max("_e").alias("_e")]
-    if "_g" in x.columns:
-        g = F.array_distinct(F.flatten(F.collect_list("_g"))) if already_sets else F.collect_set("_g")
-        aggs.append(g.alias("_g"))
-    if "_m" in x.columns:
-        aggs.append(F.max("_m").alias("_m"))
-    keep = [c for c in part]
-    return x.groupBy(*keep, "_isl").agg(*aggs).drop("_isl")
-
-
 def coverage_segments(frags: DataFrame, by: list[str], chrom: str = "chrom", start: str = "start_pos",
                       end: str = "end_pos", bin_size: int = BIN) -> DataFrame:
     """Coverage of half-open fragments as segments ``[seg_start, seg_end)`` with depth ``cov``.
@@ -151,7 +119,7 @@ def call_peaks(frags: DataFrame, by: list[str], min_cov: int = 2, chrom: str = "
     # touching half-open segments [a,b) [b,c): closed [a,b-1] [b,c-1] are book-ended, gap 1
     closed = seg.select(*by, chrom, F.col("seg_start").alias("start_pos"),
                         (F.col("seg_end") - 1).alias("end_pos"), "cov")
-    peaks = reduce_intervals(closed, by, chrom, gap=1, bin_size=bin_size, max_of="cov")
+    peaks = reduce_intervals(closed, by, chrom, gap=1, max_of="cov")
     return peaks.select(*by, chrom, F.col("start_pos").alias("peak_start"),
                         (F.col("end_pos") + 1).alias("peak_end"), "max_cov")
 

@@ -84,6 +84,12 @@ def eval_llm_report(spark, sf):
     return _r6(E._join_one(n, m), ["accuracy", "precision", "recall", "macro_f1"])
 
 
+@query("eval_llm_table", views=("preds",), sql=MAPPED)
+def eval_llm_table(spark, sf):
+    """The report's table: truth, matched label and raw prediction of every sample."""
+    return mapped(Inputs(spark, sf))
+
+
 @query("eval_confusion", views=("preds",), sql=f"""WITH m AS ({MAPPED}), c AS (SELECT gt AS x FROM m UNION SELECT pred FROM m)
 SELECT a.x AS truth, b.x AS predicted, COUNT(m.sample_id) AS n FROM c a CROSS JOIN c b
 LEFT JOIN m ON m.gt = a.x AND m.pred = b.x GROUP BY 1, 2""")

@@ -99,7 +99,7 @@ def set_reduce_intervals(spark, sf):
     i = Inputs(spark, sf)
     iv = (i.features.select("chrom", "start_pos", "end_pos", F.lit("feature").alias("g"))
           .unionByName(i.blacklist.select("chrom", "start_pos", "end_pos", F.lit("blacklist").alias("g"))))
-    out = O.reduce_intervals(iv, [], group="g", gap=1, bin_size=50_000)
+    out = O.reduce_intervals(iv, [], group="g", gap=1)
     return out.withColumn("groups", F.array_join("groups", ","))
 
 

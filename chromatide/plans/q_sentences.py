@@ -132,6 +132,13 @@ def agg_group_mean_rank(spark, sf):
                       F.round("mean_rank_group_2", 6).alias("mean_rank_group_2"))
 
 
+_T = "(1 / (1 + 0.5 * abs(z) / sqrt(2)))"
+_POLY = str(S.ERFC[-1])
+for _c in reversed(S.ERFC[:-1]):
+    _POLY = f"({_c} + {_T} * {_POLY})"
+_P_VAL = f"{_T} * exp(-z * z / 2 + {_POLY})"
+
+
 @query("stat_rank_sum", views=("sentences", "cells"), sql=f"""
 WITH g AS (SELECT cell, 1 AS grp FROM ({G1}) UNION ALL SELECT cell, 2 FROM ({G2})),
  n AS (SELECT SUM(CASE WHEN grp = 1 THEN 1 ELSE 0 END) AS n1, SUM(CASE WHEN grp = 2 THEN 1 ELSE 0 END) AS n2 FROM g),
@@ -142,16 +149,18 @@ WITH g AS (SELECT cell, 1 AS grp FROM ({G1}) UNION ALL SELECT cell, 2 FROM ({G2}
  a AS (SELECT f.feature_idx, COALESCE(SUM(CASE WHEN g.grp = 1 THEN m.mr END), 0) AS r1p,
         COUNT(CASE WHEN g.grp = 1 THEN 1 END) AS k1, COALESCE(MAX(m.zm), ((SELECT n1 + n2 FROM n) + 1) / 2.0) AS zm
        FROM ({FEATS}) f LEFT JOIN m ON m.feature_idx = f.feature_idx LEFT JOIN g ON g.cell = m.cell GROUP BY f.feature_idx)
-SELECT a.feature_idx, round(r1p + (n1 - k1) * zm, 6) AS rank_sum_1,
-  round((r1p + (n1 - k1) * zm - n1 * (n1 + n2 + 1) / 2.0) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0), 6) AS w_stat,
-  round(mr.mean_rank_group_1, 6) AS mean_rank_group_1, round(mr.mean_rank_group_2, 6) AS mean_rank_group_2
-FROM a, n, ({_MEANS}) mr WHERE mr.feature_idx = a.feature_idx""")
+SELECT feature_idx, round(r1, 6) AS rank_sum_1, round(z, 6) AS w_stat, round({_P_VAL}, 6) AS p_val,
+  round(mean_rank_group_1, 6) AS mean_rank_group_1, round(mean_rank_group_2, 6) AS mean_rank_group_2
+FROM (SELECT a.feature_idx, r1p + (n1 - k1) * zm AS r1,
+  (r1p + (n1 - k1) * zm - n1 * (n1 + n2 + 1) / 2.0) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0) AS z,
+  mr.mean_rank_group_1, mr.mean_rank_group_2
+  FROM a, n, ({_MEANS}) mr WHERE mr.feature_idx = a.feature_idx)""")
 def stat_rank_sum(spark, sf):
     i = Inputs(spark, sf)
     g1, g2 = groups(i)
     out = S.rank_sum_test(S.rank_matrix(i.sentences), g1, g2, MIN_PCT, i.sentences)
     return out.select("feature_idx", *[F.round(c, 6).alias(c) for c in
-                                       ["rank_sum_1", "w_stat", "mean_rank_group_1", "mean_rank_group_2"]])
+                                       ["rank_sum_1", "w_stat", "p_val", "mean_rank_group_1", "mean_rank_group_2"]])
 
 
 @query("stat_complement_group", views=("sentences", "cells"), sql=G2)

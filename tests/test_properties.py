@@ -67,9 +67,32 @@ def test_reduce_intervals_matches_brute_force(spark):
         s = rnd.randrange(0, 5000)
         iv.append((c, s, s + rnd.choice([0, 3, 40, 300, 1200])))
     df = spark.createDataFrame(iv, "chrom string, start_pos long, end_pos long")
-    for bin_size in (100, 1000, 10_000_000):
-        got = sorted((r[0], r[1], r[2]) for r in R.reduce_intervals(df, [], bin_size=bin_size).collect())
-        assert got == _brute_merge(iv, 1)
+    got = sorted((r[0], r[1], r[2]) for r in R.reduce_intervals(df, []).collect())
+    assert got == _brute_merge(iv, 1)
+
+
+def test_one_interval_over_a_whole_chromosome(spark):
+    """It swallows all others, across every partition; one behind it stays apart."""
+    rnd = random.Random(3)
+    iv = [("chr1", s, s + 5, f"g{s % 3}", s % 7) for s in (rnd.randrange(10, 100_000) for _ in range(2000))]
+    iv += [("chr1", 0, 200_000, "all", 1), ("chr1", 200_002, 200_003, None, 9), ("chr2", 5, 6, "g1", None)]
+    df = spark.createDataFrame(iv, "chrom string, start_pos long, end_pos long, g string, m long")
+    out = R.reduce_intervals(df, [], group="g", max_of="m")
+    got = {(r["chrom"], r["start_pos"], r["end_pos"]): (r["groups"], r["max_m"]) for r in out.collect()}
+    assert got == {("chr1", 0, 200_000): (["all", "g0", "g1", "g2"], 6), ("chr1", 200_002, 200_003): ([], 9), ("chr2", 5, 6): (["g1"], None)}
+    assert R.reduce_intervals(df.limit(0), []).count() == 0
+
+
+def test_running_maximum(spark):
+    from chromatide.operators.common import in_order, scan
+    rnd = random.Random(4)
+    rows = [(k, i, rnd.choice([None, rnd.randrange(1000)])) for k in ("a", "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(7)
+    for exclusive in (False, True):
+        got = {(r["k"], r["i"]): r["top"] for r in scan(in_order(df, ["k"], "i"), ["k"], "i", "v", "top", F.max, exclusive).collect()}
+        for k, i, _ in rows:
+            before = [v for kk, j, v in rows if kk == k and v is not None and (j < i or (j == i and not exclusive))]
+            assert got[k, i] == (max(before) if before else None)
 
 
 def test_coverage_matches_brute_force(spark):

@@ -23,6 +23,14 @@ def split_words(text: Column, separators: str) -> Column:
     return F.filter(parts, lambda w: w != F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def row_key(*cols: str) -> Column:
     """64-bit identity of a row by content: rows equal in ``cols`` share it, so repeated rows need no id."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols])

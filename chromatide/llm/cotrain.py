@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 BITS = 18
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the fitting sample: labelled rows (the least hashes of doc_id) and unlabelled rows of the pool.
@@ -174,27 +176,26 @@ def bad_labels(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     """Fit on a bounded sample: LABELLED rows with a label and POOL rows without, the least hashes of doc_id."""
-    joined = docs.select("doc_id", "text", "lang", "source", "n_chars").join(bad_labels(labels), "doc_id", "left")
-
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame({"doc_id": part["doc_id"], "bad": part["bad"], "t": [text_features(x) for x in part["text"]],
                                 "p": [page_features(*x) for x in zip(part["lang"], part["source"], part["n_chars"])]})
 
-    # Ids are picked first, so that only the sample's texts move.
-    ids = docs.select("doc_id").join(bad_labels(labels), "doc_id", "left").withColumn("_h", F.xxhash64("doc_id", F.lit(4)))
-    picked = [ids.where(cond).orderBy("_h", "doc_id").limit(n).select("doc_id")
+    # Ids are picked first, with their labels, so that no text but the sample's moves.
+    ids = docs.select("doc_id").where("doc_id is not null").join(bad_labels(labels), "doc_id", "left").withColumn("_h", F.xxhash64("doc_id", F.lit(4)))
+    picked = [ids.where(cond).orderBy("_h", "doc_id").limit(n).select("doc_id", "bad")
               for cond, n in (("bad is not null", LABELLED), ("bad is null", POOL))]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]).where("doc_id is not null").distinct())   # at most LABELLED + POOL ids
-    sample = joined.join(chosen, "doc_id").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+    chosen = F.broadcast(picked[0].unionByName(picked[1]).distinct())   # at most LABELLED + POOL ids
+    sample = docs.select("doc_id", "text", "lang", "source", "n_chars").join(chosen, "doc_id").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
         features, "doc_id string, bad double, t array<int>, p array<int>").toPandas().sort_values("doc_id", kind="stable")
     sample = sample[:LABELLED + POOL]   # repeated doc_ids may bring more rows than ids
     order = np.random.default_rng(4).permutation(len(sample))
     return co_train([sample["t"].iloc[i] for i in order], [sample["p"].iloc[i] for i in order], sample["bad"].to_numpy(float)[order])
 
 
-def _judged(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """``docs`` with the struct ``_j`` of both views' probabilities and the combined one."""
+def _judged(docs: DataFrame, model: CoTrained) -> tuple[DataFrame, str]:
+    """``docs`` with a struct of both views' probabilities and the combined one, and that column's name, which ``docs`` has not."""
+    name = free_name(docs, "judged")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("text_score double, page_score double, score double")
@@ -205,7 +206,7 @@ def _judged(docs: DataFrame, model: CoTrained) -> DataFrame:
             p = m.page.logit(Csr([page_features(*x) for x in zip(lang, source, n_chars)]))
             yield pd.DataFrame(dict(zip(("text_score", "page_score", "score"), m.combine(t, p))))
 
-    return docs.withColumn("_j", judge("text", "lang", "source", F.col("n_chars").cast("double")))
+    return docs.withColumn(name, judge("text", "lang", "source", F.col("n_chars").cast("double"))), name
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
@@ -214,9 +215,11 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     Every row is scored from its whole text and its metadata; nulls count as
     empty values. Columns of those names are replaced, others pass through.
     """
-    return _judged(docs.drop("text_score", "page_score", "score"), model).select("*", "_j.*").drop("_j")
+    judged, name = _judged(docs.drop("text_score", "page_score", "score"), model)
+    return judged.select("*", f"{name}.*").drop(name)
 
 
 def drop_bad(docs: DataFrame, model: CoTrained, reject_from: float) -> DataFrame:
     """``docs`` without the rows whose combined probability of being bad reaches ``reject_from``; all columns stay."""
-    return _judged(docs, model).where(F.col("_j.score") < reject_from).select(*docs.columns)
+    judged, name = _judged(docs, model)
+    return judged.where(F.col(f"{name}.score") < reject_from).drop(name)

@@ -273,6 +273,9 @@ def test_cotraining(spark, docs, none):
     got = cotrain.score(df, model).collect()
     assert all((r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in got)
     assert cotrain.score(docs, model).count() == len(rows()) and cotrain.drop_bad(docs, model, 0.5).columns == docs.columns
+    own = docs.withColumnRenamed("words", "Judged")
+    for out in (cotrain.score(own, model), cotrain.drop_bad(own, model, 1.1)):
+        assert {(r["_j"], r["Judged"]) for r in out.collect()} == {("y", "x"), (None, None)}
     empty = cotrain.train(none, labels.limit(0))
     assert cotrain.score(docs, empty).count() == len(rows()) and cotrain.score(none, model).count() == 0
 

@@ -202,11 +202,12 @@ def src_class_ids(spark, sf):
     return IO.read_class_ids(spark, path)
 
 
-@query("snk_split_dataset", views=("corpus",), sql="SELECT doc_id, cell_type, dataset, split FROM corpus WHERE split = 'test'")
+@query("snk_split_dataset", views=("corpus",), sql="SELECT doc_id, cell_type, dataset, split FROM corpus")
 def snk_split_dataset(spark, sf):
     path = scratch_path(spark, "splits")
     IO.write_splits(Inputs(spark, sf).corpus, path)
-    return IO.read_splits(spark, path, "test").select("doc_id", "cell_type", "dataset", "split")
+    parts = [IO.read_splits(spark, path, name).select("doc_id", "cell_type", "dataset", "split") for name in ("train", "test", "valid")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("snk_stats_csv", views=("corpus",), sql="""

@@ -21,10 +21,15 @@ FRAGMENTS = T.StructType(BED3.fields + [T.StructField("barcode", T.StringType())
 PREDS = T.StructType([T.StructField("gt", T.StringType()), T.StructField("pred", T.StringType())])
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines with their place: part name, start of the block read, place in the block.  Parts follow each other by name."""
+    return spark.read.text(path).select(F.col("value").alias("line"), F.struct(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with a 0-based line number in file order (no single-partition window)."""
-    raw = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("_mid"))
-    return global_position(raw, [F.col("_mid")], "line_no", 0).drop("_mid")
+    return global_position(_placed(spark, path), [F.col("place")], "line_no", 0).drop("place")
 
 
 # ---- Matrix Market -----------------------------------------------------------------
@@ -33,7 +38,9 @@ def write_mtx(counts: DataFrame, row_names: DataFrame, col_names: DataFrame, pat
               row: str = "feature_idx", col: str = "cell", value: str = "n") -> None:
     """Triplets with 1-based positions of ``row_names``/``col_names`` (their row order), plus the lists.
 
-    The .mtx body is one file by format: header and size line first.
+    Each file is a folder of numbered parts in a global sort order, written in
+    parallel: the parts one after the other, by name, are the file.  Header and
+    size line come first, then the entries column by column.
     """
     spark = counts.sparkSession
     rn = global_position(row_names, [F.col(row)], "_r")
@@ -45,13 +52,9 @@ def write_mtx(counts: DataFrame, row_names: DataFrame, col_names: DataFrame, pat
     body = trip.select(F.concat_ws(" ", "_r", "_c", F.col(value).cast("string")).alias("value"), F.lit(2).alias("k"),
                        "_c", "_r")
     head = head.withColumn("_c", F.lit(0).cast("bigint")).withColumn("_r", F.lit(0).cast("bigint"))
-    # one file by format; a global sort puts the header and size line first (column-major body)
-    (head.unionByName(body).repartition(1).sortWithinPartitions("k", "_c", "_r").select("value")
-     .write.mode("overwrite").text(f"{path}/matrix.mtx"))
-    rn.repartition(1).sortWithinPartitions("_r").select(F.col(row).cast("string").alias("value")) \
-        .write.mode("overwrite").text(f"{path}/features.tsv")
-    cn.repartition(1).sortWithinPartitions("_c").select(F.col(col).cast("string").alias("value")) \
-        .write.mode("overwrite").text(f"{path}/barcodes.tsv")
+    head.unionByName(body).orderBy("k", "_c", "_r").select("value").write.mode("overwrite").text(f"{path}/matrix.mtx")
+    rn.orderBy("_r").select(F.col(row).cast("string").alias("value")).write.mode("overwrite").text(f"{path}/features.tsv")
+    cn.orderBy("_c").select(F.col(col).cast("string").alias("value")).write.mode("overwrite").text(f"{path}/barcodes.tsv")
 
 
 def read_mtx(spark: SparkSession, path: str, orientation: str = "features_x_cells") -> tuple[DataFrame, tuple[int, int, int]]:
@@ -60,11 +63,11 @@ def read_mtx(spark: SparkSession, path: str, orientation: str = "features_x_cell
     ``orientation`` says which list the matrix rows index (fixed from the
     argument, not guessed).  Returns the COO and the declared (rows, cols, nnz).
     """
-    lines = _lines(spark, f"{path}/matrix.mtx").where(~F.col("line").startswith("%"))
-    first = lines.agg(F.min("line_no")).first()[0]
-    size = lines.where(F.col("line_no") == first).first()["line"].split()
-    dims = tuple(int(x) for x in size)
-    trip = lines.where(F.col("line_no") > first).select(F.split(F.trim("line"), r"\s+").alias("p")).select(
+    lines = _placed(spark, f"{path}/matrix.mtx").where(~F.col("line").startswith("%") & (F.trim("line") != ""))
+    first = lines.agg(F.min(F.struct("place", "line")).alias("f")).first()["f"]   # the size line
+    dims = tuple(int(x) for x in first["line"].split())
+    size_line = F.struct(*[F.lit(first["place"][c]).alias(c) for c in ("file", "block", "at")])
+    trip = lines.where(F.col("place") != size_line).select(F.split(F.trim("line"), r"\s+").alias("p")).select(
         F.col("p")[0].cast("long").alias("_r"), F.col("p")[1].cast("long").alias("_c"), F.col("p")[2].cast("long").alias("n"))
     feats = _lines(spark, f"{path}/features.tsv").select((F.col("line_no") + 1).alias("_i"),
                                                          F.split("line", "\t")[0].alias("feature"))

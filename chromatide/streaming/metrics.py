@@ -4,9 +4,11 @@ Label / prediction counts and accuracy per tumbling event-time window and
 label.  In append mode a window is emitted once the watermark (max event
 time minus the delay) passes its end; a row whose window lies behind the
 watermark of an earlier micro-batch is dropped (Spark filters late rows with
-the previous batch's watermark).  Complete mode re-emits every window.  State lives in the streaming checkpoint, the
-result in a Parquet table written per micro-batch, so a restarted query
-resumes where it stopped.
+the previous batch's watermark).  Complete mode re-emits every window.  State
+lives in the streaming checkpoint, the result in a Parquet table.  In append
+mode each micro-batch has a folder of its own, named by the batch id: a batch
+that runs again after a failure writes the same folder again, so no window is
+there twice, and a restarted query goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -42,9 +44,9 @@ def stream_metrics(stream: DataFrame, window: str = "1 day", watermark: str = "1
 
 
 def run_to_table(agg: DataFrame, out_path: str, checkpoint: str, mode: str = "complete") -> None:
-    """Run the query over everything available now; each micro-batch replaces (complete) or appends to the table."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out_path)
+    """Run the query over everything available now; a micro-batch replaces the table (complete) or its own folder (append)."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out_path if mode == "complete" else f"{out_path}/batch={number}")
 
     q = (agg.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
          .foreachBatch(write).trigger(availableNow=True).start())
@@ -52,3 +54,22 @@ def run_to_table(agg: DataFrame, out_path: str, checkpoint: str, mode: str = "co
     ex = q.exception()
     if ex:
         raise RuntimeError(str(ex))
+
+
+def read_table(spark: SparkSession, out_path: str) -> DataFrame:
+    """All windows of a table that :func:`run_to_table` wrote in append mode."""
+    return spark.read.parquet(out_path).drop("batch")
+
+
+def staged_files(events: DataFrame, path: str, parts: int = 4, late: int = 50) -> None:
+    """``events`` as ``parts`` files in order of time, for a stream of several micro-batches.
+
+    Days are dealt to the files in order; of the first file, the rows whose
+    event_id is divisible by ``late`` come with the last one, far too late.
+    """
+    day = F.datediff(F.to_date("ts"), F.lit(events.agg(F.min(F.to_date("ts"))).first()[0]))
+    days = events.agg(F.max(day)).first()[0] + 1
+    part = F.floor(day * parts / days)
+    part = F.when((part == 0) & (F.col("event_id") % late == 0), parts - 1).otherwise(part)
+    for number in range(parts):
+        events.where(part == number).coalesce(1).write.parquet(f"{path}/part{number}")

@@ -71,3 +71,30 @@ def test_p_value_within_the_stated_error(spark):
     for v, p in zip(z[:-2], got):
         assert p == pytest.approx(math.erfc(abs(v) / math.sqrt(2)), rel=1.2e-7)
     assert got[-2] is None and math.isnan(got[-1])
+
+
+def test_matrix_market_parts_are_the_file(spark):
+    import os
+
+    from chromatide.session import scratch_path
+    from chromatide.sources import tables as IO
+    path = scratch_path(spark, "mtx-parts")
+    counts = spark.range(400).selectExpr("id % 40 as cell", "id div 40 as feature_idx", "id + 1 as n")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")   # so few lines make several parts
+    try:
+        IO.write_mtx(counts, counts.select("feature_idx").distinct(), counts.select("cell").distinct(), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+    def text(name):
+        folder = f"{path}/{name}".removeprefix("file:")
+        parts = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+        return parts, [line for f in parts for line in open(os.path.join(folder, f)).read().splitlines()]
+
+    parts, lines = text("matrix.mtx")
+    assert len(parts) > 1 and lines[:2] == ["%%MatrixMarket matrix coordinate integer general", "10 40 400"]
+    assert lines[2:] == [f"{r + 1} {c + 1} {r * 40 + c + 1}" for c in range(40) for r in range(10)]
+    assert text("barcodes.tsv")[1] == [str(c) for c in range(40)]
+    coo, dims = IO.read_mtx(spark, path)
+    assert dims == (10, 40, 400)
+    assert {(r["cell"], r["feature"], r["n"]) for r in coo.collect()} == {(str(i % 40), str(i // 40), i + 1) for i in range(400)}

@@ -161,7 +161,7 @@ def test_knn_vectors_exact(spark):
     rng = np.random.default_rng(13)
     x = rng.random((150, 5))
     df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(150)], "id long, v array<double>")
-    nn = D.knn_vectors(df, "id", "v", 4, rows_per_block=20).collect()
+    nn = D.nearest_vectors(df, "id", "v", 4, rows_per_block=20).collect()
     got = {}
     for r in nn:
         got.setdefault(r["i"], []).append((r["rank"], r["j"]))

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -57,7 +58,7 @@ def test_sql(spark, con, name):
     assert sorted(got.columns) == cols
 
     def key(df):
-        return sorted(tuple("" if v is None or v != v else round(v, 5) if isinstance(v, float) else v for v in r) for r in df[cols].itertuples(index=False))
+        return sorted(tuple("" if pd.isna(v) else round(v, 5) if isinstance(v, float) else v for v in r) for r in df[cols].itertuples(index=False))
     assert key(got) == key(want)
 
 

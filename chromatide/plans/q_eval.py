@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from chromatide.operators import classify as K
 from chromatide.operators import evaluate as E
 from chromatide.operators.sequences import char_ids
 from chromatide.plans.fixtures import Inputs
@@ -355,3 +357,32 @@ def cls_centroid(spark, sf):
     e = Inputs(spark, sf).logits.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     cents = E.fit_centroids(e, "label", "embedding")
     return E.score_centroids(e, cents, "label", "embedding").select("vec_id", "label", "pred")
+
+
+GRADIENT_SQL = """
+WITH e AS (SELECT label, list_concat(CAST(embedding AS DOUBLE[]), [1.0::DOUBLE]) AS v FROM logits
+           WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ x AS (SELECT label, unnest(v) AS x, unnest(range(0, len(v))) AS d FROM e),
+ per AS (SELECT label, d, SUM(x) AS s FROM x GROUP BY label, d),
+ tot AS (SELECT d, SUM(s) AS s FROM per GROUP BY d),
+ k AS (SELECT COUNT(DISTINCT label) AS k, COUNT(*) AS n FROM e)
+SELECT per.label, per.d AS dim, round((tot.s / k - per.s) / n, 6) AS value, round(ln(k), 6) AS loss FROM per JOIN tot USING (d), k"""
+
+
+@query("cls_softmax_gradient", views=("logits",), sql=GRADIENT_SQL)
+def cls_softmax_gradient(spark, sf):
+    """First pass of the fit: loss and gradient at zero weights, by class and dimension (the last is the intercept)."""
+    classes, rows, dims = K.usable_rows(Inputs(spark, sf).logits, "label", "embedding")
+    loss, grad = K.loss_and_gradient(rows, np.zeros((len(classes), dims + 1)), rows.count(), 0.0)
+    out = [(c, d, float(v)) for c, row in zip(classes, grad) for d, v in enumerate(row)]
+    return spark.createDataFrame(out, "label bigint, dim bigint, value double").select(
+        "label", "dim", F.round("value", 6).alias("value"), F.round(F.lit(loss), 6).alias("loss"))
+
+
+@query("cls_softmax_fit")
+def cls_softmax_fit(spark, sf):
+    """Fitted on the vectors of four fifths of the cells, applied to all of them."""
+    e = Inputs(spark, sf).logits
+    model = K.fit_softmax(e.where(F.col("cell") % 5 != 0), "label", "embedding")
+    scored = K.score_softmax(e, model, "embedding")
+    return scored.select("vec_id", "label", (F.col("cell") % 5 == 0).alias("held_out"), "pred", F.round("p_max", 4).alias("p_max"))

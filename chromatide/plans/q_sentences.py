@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from chromatide.functions import labels as L
 from chromatide.operators import sentences as S
 from chromatide.operators.common import arr_text
+from chromatide.operators.hooks import map_batches
 from chromatide.plans.fixtures import Inputs
 from chromatide.plans.registry import query
 
@@ -247,3 +249,17 @@ def join_feature_index(spark, sf):
     i = Inputs(spark, sf)
     names = S.with_names(i.sentences, i.features).select("cell", "pos", "feature")
     return S.feature_index(names, i.features)
+
+
+def _first_and_count(batch):
+    """User function of the batched hook: the capital first word of each sentence and its number of words."""
+    words = batch["sentence"].fillna("").map(str.split)
+    return pd.DataFrame({"n_words": words.map(len), "first_word": words.map(lambda w: w[0].upper() if w else None)})
+
+
+@query("map_batched", views=("words",), sql="""
+SELECT conv_id, turn, len(w) AS n_words, upper(w[1]) AS first_word FROM (
+  SELECT conv_id, turn, list_filter(string_split(COALESCE(sentence, ''), ' '), lambda x: x <> '') AS w FROM words)""")
+def map_batched(spark, sf):
+    out = map_batches(Inputs(spark, sf).words, _first_and_count, ["sentence"], "n_words long, first_word string")
+    return out.drop("sentence")

@@ -18,10 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 ORDER = 4
-#: Training texts for each language (the least hashes of doc_id), out of those of at most so many characters.
+#: Training pieces for each language (the least hashes of doc_id and piece), and characters in a piece. Longer texts
+#: are cut, and each of their pieces is drawn like a text of its own.
 TRAIN_DOCS, TRAIN_CHARS = 300, 50_000
 CHUNK = 1 << 17
 #: More languages than this are joined by a shuffle.
@@ -121,14 +122,22 @@ def crc32_of_id(doc_id: str) -> Column:
 
 
 def train(labelled: DataFrame, doc_id: str = "doc_id", label: str = "lang", text: str = "text") -> Ppm:
-    """Model of the languages in ``labelled`` from a bounded sample of its rows (see TRAIN_DOCS, TRAIN_CHARS)."""
-    usable = labelled.where(F.col(label).isNotNull() & (F.length(text) > 0) & (F.length(text) <= TRAIN_CHARS))
-    usable = usable.select(F.col(label).alias("_l"), F.xxhash64(F.col(doc_id).cast("string"), F.lit(5)).alias("_h"), F.col(text).alias("_t"))
+    """Model of the languages in ``labelled`` from a bounded sample of the pieces of its texts (see TRAIN_DOCS, TRAIN_CHARS).
+
+    Rows with a null label, a null text or an empty one are left out; a text of any
+    length takes part, so a language is learned also where all its texts are long.
+    """
+    usable = labelled.where(F.col(label).isNotNull() & (F.length(text) > 0))
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length(text) - 1) / TRAIN_CHARS)))
+    usable = usable.select(F.col(label).alias("_l"), F.col(doc_id).cast("string").alias("_d"), F.col(text).alias("_x"), pieces.alias("_c"))
+    usable = usable.withColumn("_h", F.xxhash64("_d", F.lit(5), "_c"))
     # A share of the hashes thins each language to about twice the sample where it lies, then the least hashes are taken.
     # The sizes, one row for each language, are broadcast while there are few, so that no text moves before it is thinned.
     size = written(usable.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")))
     side = F.broadcast(size) if size.count() <= BROADCAST_LANGS else size
     thin = usable.join(side, "_l").where(F.pmod("_h", F.lit(1 << 31)) * F.col("_n") < F.lit(2 * TRAIN_DOCS * (1 << 31)))
+    # only the pieces left are cut out of their texts
+    thin = thin.select("_l", "_h", F.substring("_x", F.col("_c") * TRAIN_CHARS + 1, F.lit(TRAIN_CHARS)).alias("_t"))
     order = Window.partitionBy("_l").orderBy("_h", F.xxhash64("_t"))
     sample = thin.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= TRAIN_DOCS)
     label, text = "_l", "_t"
@@ -159,5 +168,6 @@ def identify(docs: DataFrame, model: Ppm, text: str = "text") -> DataFrame:
                 rows.append((ppm.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())))
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
-    judged = docs.drop("lang_pred", "score").withColumn("_j", judge(F.col(text)))
-    return judged.select("*", "_j.lang_pred", "_j.score").drop("_j")
+    free = free_name(docs, "_j")
+    judged = docs.drop("lang_pred", "score").withColumn(free, judge(F.col(text)))
+    return judged.select("*", f"{free}.lang_pred", f"{free}.score").drop(free)

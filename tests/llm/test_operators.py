@@ -264,6 +264,31 @@ def test_language(spark, docs, none):
     odd = spark.createDataFrame([(0, "\u00b2 \u2167 \u00bd 12"), (1, "\u5b57")], "doc_id long, text string")   # number signs are no letters
     assert [r["lang_pred"] == "und" for r in ppm.identify(odd, model).orderBy("doc_id").collect()] == [True, False]
     assert ppm.identify(docs, ppm.train(none)).where("lang_pred <> 'und'").count() == 0 and ppm.identify(none, model).count() == 0
+    kept = {r["doc_id"]: r["_j"] for r in docs.select("doc_id", "_j").collect()}
+    assert {r["doc_id"]: r["_j"] for r in ppm.identify(docs, model).collect()} == kept
+
+
+def test_ppm_learns_from_texts_of_any_length(spark, monkeypatch):
+    """A language found in long texts only is learned, from all parts of them, and the sample stays bounded."""
+    monkeypatch.setattr(ppm, "TRAIN_CHARS", 100)
+    monkeypatch.setattr(ppm, "TRAIN_DOCS", 8)
+    rows = [(i, "en", PROSE[:90]) for i in range(3)] + [(10 + i, "xx", "zuq vok " * 60 + "\u00e9\u00e8 wym jyx " * 40) for i in range(3)]
+    train = spark.createDataFrame([*rows, (20, "yy", None), (21, "yy", ""), (22, None, "abc")], "doc_id long, lang string, text string")
+    model = ppm.train(train)
+    assert model.langs == ["en", "xx"]
+    asked = spark.createDataFrame([(1, "vok zuq vok"), (2, "wym jyx \u00e9\u00e8 wym"), (3, "the quick brown fox")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in ppm.identify(asked, model).collect()} == {1: "xx", 2: "xx", 3: "en"}
+    seen = collections.Counter()
+    monkeypatch.setattr(ppm, "context_counts", lambda sample, label, text: _note(sample, seen))
+    ppm.train(train)
+    assert seen == {"en": 3, "xx": 8}
+
+
+def _note(sample, seen):
+    for r in sample.collect():
+        assert 0 < len(r["_t"]) <= 100
+        seen[r["_l"]] += 1
+    return sample.sparkSession.createDataFrame([], "lang string, ord int, key long, n long")
 
 
 def test_cotraining(spark, docs, none):

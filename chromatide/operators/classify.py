@@ -167,7 +167,7 @@ def score_softmax(df: DataFrame, model: SoftmaxModel, vec: str, pred: str = "pre
         return out
 
     free = "_j"
-    while free in df.columns:
+    while free in {c.lower() for c in df.columns}:
         free += "_"
     names = F.array(*[F.lit(c) for c in model.classes]) if model.classes else F.array().cast("array<string>")
     judged = df.withColumn(free, judge(F.col(vec).cast("array<double>")))

@@ -158,7 +158,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translat
 p AS (SELECT r, i, ws[i] AS w FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
 u0 AS (SELECT w, count(*) AS n FROM p GROUP BY w),
 t AS (SELECT sum(n) AS total FROM u0),
-k AS (SELECT p.r, p.i, CASE WHEN u0.n >= 1e-6 * t.total THEN 'w' || p.w ELSE '' END AS w FROM p JOIN u0 USING (w), t),
+k AS (SELECT p.r, p.i, p.w FROM p),
 u AS (SELECT w, count(*) AS n FROM k GROUP BY w),
 b AS (SELECT k.r, k.i, k.w, lag(k.w) OVER (PARTITION BY k.r ORDER BY k.i) AS v FROM k),
 c AS (SELECT v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY v, w),

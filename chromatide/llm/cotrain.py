@@ -1,9 +1,10 @@
 """Quality classifier by co-training: a text view and a metadata view teach each other.
 
 Each view is a logistic regression over hashed binary features. In every round
-each view scores a pool of unlabelled documents and hands its most confident
-ones, as pseudo-labels, to the other view. At the end both views are calibrated
-on labelled rows that neither was fitted on, and their log-odds are added.
+each view labels all unlabelled documents that it is sure of, and the other
+view learns from those labels: feature counts and gradients are summed in
+tasks, the driver holds weights only. At the end both views are calibrated on
+labelled rows that neither was fitted on, and their log-odds are added.
 """
 
 from __future__ import annotations
@@ -12,22 +13,29 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chromatide.session import scratch_path
+
 from .common import free_name
 
 BITS = 18
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the fitting sample: labelled rows (the least hashes of doc_id) and unlabelled rows of the pool.
-LABELLED, POOL = 8_000, 3_000
-ROUNDS, CONFIDENT, EXCHANGED = 3, 0.95, 400
-STEPS, RIDGE = 150, 1e-4
+#: Bound of the labelled sample: this many ids, the least hashes of doc_id. The unlabelled documents are not sampled.
+LABELLED = 8_000
+#: Rounds of exchange; a view is sure of a document from this probability of its label.
+ROUNDS, CONFIDENT = 3, 0.95
+#: Steps over the labelled sample before the first round, and passes over all unlabelled documents in each round.
+STEPS, PASSES, RIDGE = 150, 5, 1e-4
+#: Residuals are summed as whole multiples of 1 / UNIT, so that sums do not depend on the order of the tasks.
+UNIT = 1 << 24
 #: Only features whose 2 x 2 chi-square against the label is at least this carry weight.
 LEAST_CHI2 = 25.0
 STEPS_OF_SHARE = [k / 100 for k in range(10)] + [k / 20 for k in range(2, 20)]
@@ -65,10 +73,19 @@ def page_features(lang: str | None, source: str | None, n_chars: float | None) -
 class Csr:
     """Rows of slot numbers; every feature is 0 or 1."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.index = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
-        self.size = np.array([len(r) for r in rows], np.int64)
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), self.size)
+    def __init__(self, index: np.ndarray, size: np.ndarray):
+        self.index, self.size = index, size
+        self.row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+
+    @classmethod
+    def of(cls, rows: list) -> Csr:
+        index = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
+        return cls(index, np.array([len(r) for r in rows], np.int64))
+
+    @classmethod
+    def packed(cls, rows: list[bytes]) -> Csr:
+        """Rows whose slots stand as 32-bit numbers in bytes."""
+        return cls(np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 4 for r in rows], np.int64))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.index], minlength=len(self.size))
@@ -93,28 +110,91 @@ class View:
         return x.dot(self.weights) + self.bias
 
 
-def _chi2(x: Csr, y: np.ndarray) -> np.ndarray:
-    """Chi-square of each feature's 2 x 2 table with the label (each cell half a count more)."""
-    n, bad = len(y) + 2.0, y.sum() + 1.0
-    a, df = x.back(y) + 0.5, x.back(np.ones(len(y))) + 1.0
-    return n * (a * (n - df - bad + a) - (df - a) * (bad - a)) ** 2 / (df * (n - df) * bad * (n - bad))
+def block_sums(xs: list[Csr], teachers: list[View], students: list[View] | None = None, used: list[np.ndarray] | None = None) -> np.ndarray:
+    """[view, label, slot] over the rows that the other view's teacher is sure of; the last slot stands for the rows themselves.
 
+    Counts of the features, or with ``students`` the sums of their residuals
+    (probability less label, in units of 1 / UNIT) over the ``used`` features.
+    """
+    total = np.zeros((2, 2, (1 << BITS) + 1), np.int64)
+    bad = [_sigmoid(t.logit(x)) for t, x in zip(teachers, xs)]
+    for k, x in enumerate(xs):
+        other = bad[1 - k]
+        own = None if students is None else _sigmoid(students[k].logit(x))
+        for label, sure in enumerate((other <= 1 - CONFIDENT, other >= CONFIDENT)):
+            e = sure.astype(float) if own is None else np.where(sure, np.rint((own - label) * UNIT), 0.0)
+            sums = x.back(e)
+            total[k, label, :-1] = sums if used is None else np.where(used[k], sums, 0.0)
+            total[k, label, -1] = e.sum()
+    return total
+
+
+def pool_sums(pool: DataFrame, teachers: list[View], students: list[View] | None = None, used: list[np.ndarray] | None = None) -> np.ndarray:
+    """:func:`block_sums` over all rows of ``pool`` (t, p: packed slots), summed in tasks and then by slot: 2**20 rows at most come back."""
+    shared = pool.sparkSession.sparkContext.broadcast((teachers, students, used))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            total = total + block_sums([Csr.packed(batch.column(c).to_pylist()) for c in ("t", "p")], *shared.value)
+        if not isinstance(total, int):
+            flat = total.ravel()
+            at = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["place", "n"])
+
+    found = pool.select("t", "p").mapInArrow(add, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    shared.unpersist()
+    total = np.zeros(2 * 2 * ((1 << BITS) + 1), np.int64)
+    total[found["place"].to_numpy()] = found["n"].to_numpy()
+    return total.reshape(2, 2, -1)
+
+
+class Fit:
+    """Ridge logistic regression of one view by Adam; features without a clear link to the label stay 0.
+
+    The labelled sample counts in full. A pseudo-labelled document never weighs
+    more than a labelled one, and those of a label together no more than the
+    sample's rows of that label, however many there are.
+    """
 
-def fit_view(x: Csr, y: np.ndarray) -> View:
-    """Ridge logistic regression by Adam over the whole sample; features without a clear link to the label stay 0."""
-    used = _chi2(x, y) >= LEAST_CHI2
-    prior = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
-    w, b = np.zeros(1 << BITS), math.log(prior / (1 - prior))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, STEPS + 1 if len(y) else 1):
-        e = (_sigmoid(x.dot(w) + b) - y) / len(y)
-        g, gb = np.where(used, x.back(e) + RIDGE * w, 0.0), e.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        c, d = 1 - 0.9 ** t, 1 - 0.99 ** t
-        w -= 0.1 * (m / c) / (np.sqrt(v / d) + 1e-8)
-        b -= 0.1 * (mb / c) / (math.sqrt(vb / d) + 1e-8)
-    return View(w.astype(np.float32), float(b))
+    def __init__(self, x: Csr, y: np.ndarray):
+        self.x, self.y = x, y
+        # without any label everything counts as clean
+        prior = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
+        self.w, self.b = np.zeros(1 << BITS), math.log(prior / (1 - prior))
+        self.bad, self.seen = x.back(y), x.back(np.ones(len(y)))
+        self.teach(np.zeros((2, (1 << BITS) + 1)))
+
+    def view(self) -> View:
+        return View(self.w.copy(), self.b)
+
+    def teach(self, counts: np.ndarray) -> None:
+        """Take in the feature counts of the pseudo-labelled rows of both labels: their weight, and the features that carry weight."""
+        own, rows = np.bincount(self.y.astype(int), minlength=2), counts[:, -1]
+        self.share = np.minimum(1.0, own / np.maximum(rows, 1))
+        soft = self.share[:, None] * counts
+        self.total = len(self.y) + soft[:, -1].sum()
+        self.used = _chi2(self.bad + soft[1, :-1], self.seen + soft[:, :-1].sum(0), self.y.sum() + soft[1, -1], self.total) >= LEAST_CHI2
+        self.w[~self.used] = 0.0
+        self.t, self.m, self.v = 0, np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+
+    def step(self, residuals: np.ndarray | float = 0.0) -> None:
+        """One step along the gradient of the sample and of ``residuals``, the sums over the pseudo-labelled rows of both labels."""
+        e = _sigmoid(self.x.dot(self.w) + self.b) - self.y
+        g = np.append(self.x.back(e), e.sum()) + self.share @ (np.zeros((2, 1)) + residuals) / UNIT
+        g /= max(1.0, self.total)
+        g[:-1] = np.where(self.used, g[:-1] + RIDGE * self.w, 0.0)
+        self.t += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.99 * self.v + 0.01 * g * g
+        move = 0.1 * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.99 ** self.t)) + 1e-8)
+        self.w -= move[:-1]
+        self.b -= float(move[-1])
+
+
+def _chi2(bad: np.ndarray, seen: np.ndarray, n_bad: float, n: float) -> np.ndarray:
+    """Chi-square of each feature's 2 x 2 table with the label (each cell half a count more): rows with it, bad ones among them."""
+    n, n_bad, a, df = n + 2.0, n_bad + 1.0, bad + 0.5, seen + 1.0
+    return n * (a * (n - df - n_bad + a) - (df - a) * (n_bad - a)) ** 2 / (df * (n - df) * n_bad * (n - n_bad))
 
 
 def _fit_line(columns: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -139,24 +219,25 @@ class CoTrained:
         return _sigmoid(t), _sigmoid(p), _sigmoid(self.mix[0] * t + self.mix[1] * p + self.mix[2])
 
 
-def co_train(text_rows: list, page_rows: list, y: np.ndarray) -> CoTrained:
-    """Fit from rows whose label ``y`` is 0, 1 or NaN (the pool). Every fourth labelled row calibrates only."""
-    known = np.flatnonzero(~np.isnan(y))
-    hold, learn, pool = known[3::4], np.setdiff1d(known, known[3::4]), np.flatnonzero(np.isnan(y))
+def co_train(text_rows: list, page_rows: list, y: np.ndarray, sums: Callable[..., np.ndarray]) -> CoTrained:
+    """Fit from labelled rows (``y`` 0 or 1) and ``sums``, :func:`block_sums` over all unlabelled rows. Every fourth labelled row calibrates only."""
+    known = np.arange(len(y))
+    hold, learn = known[3::4], np.setdiff1d(known, known[3::4])
     rows = (text_rows, page_rows)
-    taught = [{int(i): float(y[i]) for i in learn} for _ in rows]
-    csr = lambda view, ids: Csr([rows[view][i] for i in ids])
-    pool_x = [csr(k, pool) for k in (0, 1)]
-    for number in range(ROUNDS + 1):
-        views = [fit_view(csr(k, taught[k]), np.array(list(taught[k].values()))) for k in (0, 1)]
-        if number == ROUNDS or not len(pool):
-            break
-        for k, view in enumerate(views):   # what view k is sure of teaches the other view
-            p = _sigmoid(view.logit(pool_x[k]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:EXCHANGED]
-                for i in best[sure[best] >= CONFIDENT]:
-                    taught[1 - k].setdefault(int(pool[i]), label)
+    csr = lambda view, ids: Csr.of([rows[view][i] for i in ids])
+    fits = [Fit(csr(k, learn), y[learn]) for k in (0, 1)]
+    for _ in range(STEPS if len(learn) else 0):
+        for fit in fits:
+            fit.step()
+    for _ in range(ROUNDS if len(learn) else 0):   # what a view is sure of teaches the other view
+        teachers = [fit.view() for fit in fits]
+        for fit, counts in zip(fits, sums(teachers)):
+            fit.teach(counts)
+        for _ in range(PASSES):
+            residuals = sums(teachers, [fit.view() for fit in fits], [fit.used for fit in fits])
+            for fit, own in zip(fits, residuals):
+                fit.step(own)
+    views = [View(fit.w.astype(np.float32), fit.b) for fit in fits]
     calibrate = hold if len(hold) else known
     logits = [v.logit(csr(k, calibrate)) for k, v in enumerate(views)]
     mix = np.array([1.0, 0.0, 0.0])
@@ -174,23 +255,42 @@ def bad_labels(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(bad).alias("bad"))
 
 
+def _featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the packed slots of both views (t, p) of every row."""
+    @F.pandas_udf("t binary, p binary")
+    def features(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, lang, source, n_chars in parts:
+            yield pd.DataFrame({"t": [np.array(text_features(x), np.int32).tobytes() for x in text],
+                                "p": [np.array(page_features(*x), np.int32).tobytes() for x in zip(lang, source, n_chars)]})
+
+    return docs.select("doc_id", features("text", "lang", "source", F.col("n_chars").cast("double")).alias("x"))
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Packed slots (t, p) of every row of ``docs`` whose doc_id has no full label, written once; texts are not shuffled, only slots may be."""
+    path = scratch_path(docs.sparkSession, "unlabelled")
+    known = bad_labels(labels).where("bad is not null")
+    # A left join with a filter: an anti-join would be moved below the features, and shuffle texts.
+    _featured(docs).join(known, "doc_id", "left").where("bad is null").select("x.t", "x.p").write.parquet(path)
+    return docs.sparkSession.read.schema("t binary, p binary").parquet(path)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    """Fit on a bounded sample: LABELLED rows with a label and POOL rows without, the least hashes of doc_id."""
-    def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"], "bad": part["bad"], "t": [text_features(x) for x in part["text"]],
-                                "p": [page_features(*x) for x in zip(part["lang"], part["source"], part["n_chars"])]})
+    """Fit on at most LABELLED labelled documents (the least hashes of doc_id; of rows that share an id one counts) and all unlabelled rows.
 
+    Null and unknown ids are unlabelled. Without any label every document gets
+    the probability 0.01.
+    """
     # Ids are picked first, with their labels, so that no text but the sample's moves.
-    ids = docs.select("doc_id").where("doc_id is not null").join(bad_labels(labels), "doc_id", "left").withColumn("_h", F.xxhash64("doc_id", F.lit(4)))
-    picked = [ids.where(cond).orderBy("_h", "doc_id").limit(n).select("doc_id", "bad")
-              for cond, n in (("bad is not null", LABELLED), ("bad is null", POOL))]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]).distinct())   # at most LABELLED + POOL ids
-    sample = docs.select("doc_id", "text", "lang", "source", "n_chars").join(chosen, "doc_id").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
-        features, "doc_id string, bad double, t array<int>, p array<int>").toPandas().sort_values("doc_id", kind="stable")
-    sample = sample[:LABELLED + POOL]   # repeated doc_ids may bring more rows than ids
+    known = bad_labels(labels).where("bad is not null").join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(LABELLED))   # LABELLED ids at most
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars").join(chosen.select("doc_id"), "doc_id", "left_semi")
+    sample = (_featured(own).groupBy("doc_id").agg(F.min("x").alias("x")).join(chosen, "doc_id")
+              .select(F.col("doc_id").cast("string").alias("doc_id"), "bad", "x.t", "x.p").toPandas().sort_values("doc_id", kind="stable"))
     order = np.random.default_rng(4).permutation(len(sample))
-    return co_train([sample["t"].iloc[i] for i in order], [sample["p"].iloc[i] for i in order], sample["bad"].to_numpy(float)[order])
+    rows = [[np.frombuffer(sample[c].iloc[i], np.int32) for i in order] for c in ("t", "p")]
+    pool = unlabelled(docs, labels) if len(sample) else None
+    return co_train(*rows, sample["bad"].to_numpy(float)[order], lambda *args: pool_sums(pool, *args))
 
 
 def _judged(docs: DataFrame, model: CoTrained) -> tuple[DataFrame, str]:
@@ -202,8 +302,8 @@ def _judged(docs: DataFrame, model: CoTrained) -> tuple[DataFrame, str]:
     def judge(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for text, lang, source, n_chars in parts:
-            t = m.text.logit(Csr([text_features(x) for x in text]))
-            p = m.page.logit(Csr([page_features(*x) for x in zip(lang, source, n_chars)]))
+            t = m.text.logit(Csr.of([text_features(x) for x in text]))
+            p = m.page.logit(Csr.of([page_features(*x) for x in zip(lang, source, n_chars)]))
             yield pd.DataFrame(dict(zip(("text_score", "page_score", "score"), m.combine(t, p))))
 
     return docs.withColumn(name, judge("text", "lang", "source", F.col("n_chars").cast("double"))), name

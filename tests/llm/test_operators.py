@@ -306,6 +306,45 @@ def test_cotraining(spark, docs, none):
     assert cotrain.score(docs, empty).count() == len(rows()) and cotrain.score(none, model).count() == 0
 
 
+def test_cotraining_sums_against_brute_force(spark):
+    """Every unlabelled row takes part: sums over tasks equal a loop over the rows, and so does the whole fit."""
+    made = [(i if i % 7 else None, f"{PROSE} n{i % 5} " + ("awful trash" if i % 4 == 0 else "kind words") * (i % 3), "en", f"s{i % 3}", 10 * i) for i in range(240)]
+    df = spark.createDataFrame(made + made[:9], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 240, 2)] + [(1, None, 0)], "doc_id long, quality int, toxic int")
+    pool = [(cotrain.text_features(r[1]), cotrain.page_features(r[2], r[3], r[4])) for r in made + made[:9] if r[0] is None or r[0] % 2]
+    size = (1 << cotrain.BITS) + 1
+
+    def brute(teachers, students=None, used=None):
+        sums = np.zeros((2, 2, size), np.int64)
+        for both in pool:
+            prob = lambda views, k: 1 / (1 + np.exp(-(sum(views[k].weights[j] for j in both[k]) + views[k].bias)))
+            for k in (0, 1):
+                p = prob(teachers, 1 - k)
+                label = 1 if p >= cotrain.CONFIDENT else 0 if p <= 1 - cotrain.CONFIDENT else None
+                if label is not None:
+                    e = 1 if students is None else int(np.rint((prob(students, k) - label) * cotrain.UNIT))
+                    for j in both[k]:
+                        sums[k, label, j] += e if used is None or used[k][j] else 0
+                    sums[k, label, -1] += e
+        return sums
+
+    table = cotrain.unlabelled(df, labels)
+    assert table.count() == len(pool)
+    random = np.random.default_rng(1)
+    views = [cotrain.View(random.normal(0, 1.5, size - 1), b) for b in (0.5, -0.5)]
+    own = [cotrain.View(random.normal(0, 1.0, size - 1), 0.1) for _ in views]
+    used = [random.random(size - 1) < 0.7 for _ in views]
+    counts = cotrain.pool_sums(table, views)
+    assert (counts == brute(views)).all() and counts[:, :, -1].sum() > 0
+    assert np.abs(cotrain.pool_sums(table, views, own, used) - brute(views, own, used)).max() <= len(pool)   # a unit for each row
+    known = [(r, int(r[0] % 4 == 0)) for r in made if r[0] is not None and r[0] % 2 == 0]
+    rows = [[cotrain.text_features(r[1]) for r, _ in known], [cotrain.page_features(r[2], r[3], r[4]) for r, _ in known]]
+    y = np.array([float(b) for _, b in known])
+    one, two = (cotrain.co_train(*rows, y, sums) for sums in (brute, lambda *args: cotrain.pool_sums(table, *args)))
+    for a, b in ((one.text, two.text), (one.page, two.page)):
+        assert np.allclose(a.weights, b.weights, atol=1e-4) and abs(a.bias - b.bias) < 1e-4
+
+
 def test_contamination(spark, docs, none):
     words = PROSE.split()
     items = spark.createDataFrame([(1, " ".join(words[3:14])), (2, "1 2, 3"), (3, None), (4, "  "), (5, "no such phrase here"), (1, " ".join(words[3:14])), (None, "again")], "item_id long, text string")

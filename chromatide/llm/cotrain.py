@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from chromatide.session import scratch_path
 
-from .common import free_name
+from .common import free_name, written
 
 BITS = 18
 WORD = re.compile(r"[^\W\d_]+")
@@ -266,10 +266,9 @@ def _featured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", features("text", "lang", "source", F.col("n_chars").cast("double")).alias("x"))
 
 
-def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Packed slots (t, p) of every row of ``docs`` whose doc_id has no full label, written once; texts are not shuffled, only slots may be."""
+def unlabelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Packed slots (t, p) of every row of ``docs`` whose doc_id is not in ``known`` (doc_id, bad), written once; texts are not shuffled, only slots may be."""
     path = scratch_path(docs.sparkSession, "unlabelled")
-    known = bad_labels(labels).where("bad is not null")
     # A left join with a filter: an anti-join would be moved below the features, and shuffle texts.
     _featured(docs).join(known, "doc_id", "left").where("bad is null").select("x.t", "x.p").write.parquet(path)
     return docs.sparkSession.read.schema("t binary, p binary").parquet(path)
@@ -281,15 +280,16 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     Null and unknown ids are unlabelled. Without any label every document gets
     the probability 0.01.
     """
-    # Ids are picked first, with their labels, so that no text but the sample's moves.
-    known = bad_labels(labels).where("bad is not null").join(docs.select("doc_id"), "doc_id", "left_semi")
-    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(LABELLED))   # LABELLED ids at most
+    # The labelled ids are written first: their size is known when Spark plans the joins, and no text but the sample's moves.
+    known = written(bad_labels(labels).where("bad is not null"))
+    present = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = F.broadcast(present.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(LABELLED))   # LABELLED ids at most
     own = docs.select("doc_id", "text", "lang", "source", "n_chars").join(chosen.select("doc_id"), "doc_id", "left_semi")
     sample = (_featured(own).groupBy("doc_id").agg(F.min("x").alias("x")).join(chosen, "doc_id")
               .select(F.col("doc_id").cast("string").alias("doc_id"), "bad", "x.t", "x.p").toPandas().sort_values("doc_id", kind="stable"))
     order = np.random.default_rng(4).permutation(len(sample))
     rows = [[np.frombuffer(sample[c].iloc[i], np.int32) for i in order] for c in ("t", "p")]
-    pool = unlabelled(docs, labels) if len(sample) else None
+    pool = unlabelled(docs, known) if len(sample) else None
     return co_train(*rows, sample["bad"].to_numpy(float)[order], lambda *args: pool_sums(pool, *args))
 
 

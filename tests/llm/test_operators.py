@@ -328,7 +328,7 @@ def test_cotraining_sums_against_brute_force(spark):
                     sums[k, label, -1] += e
         return sums
 
-    table = cotrain.unlabelled(df, labels)
+    table = cotrain.unlabelled(df, cotrain.bad_labels(labels).where("bad is not null"))
     assert table.count() == len(pool)
     random = np.random.default_rng(1)
     views = [cotrain.View(random.normal(0, 1.5, size - 1), b) for b in (0.5, -0.5)]

@@ -291,20 +291,17 @@ def fit_centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
     return mean_pool(df, label, vec)
 
 
-def score_centroids(df: DataFrame, centroids: DataFrame, label: str, vec: str, most: int = 10_000) -> DataFrame:
+def score_centroids(df: DataFrame, centroids: DataFrame, label: str, vec: str) -> DataFrame:
     """M12 score: nearest centroid by Euclidean distance, ties to the smaller class.
 
-    The fitted model (classes x dims) is applied as a literal, like any fitted
-    model's parameters; at most ``most`` classes.
+    The fitted model (one row of classes x dims) is a scalar subquery of the
+    plan, computed once. Without a centroid ``pred`` is null.
     """
-    rows = centroids.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many classes for a centroid model")
-    cents = F.array(*[F.struct(F.lit(r[label]).alias("c"), F.array(*[F.lit(float(v)) for v in r[vec]]).alias("v"))
-                      for r in rows])
+    model = F.sort_array(F.collect_list(F.struct(F.col(label).alias("c"), F.col(vec).cast("array<double>").alias("v"))))
+    df = df.withColumn("pred", centroids.where(F.col(label).isNotNull()).agg(model.alias("model")).scalar())
     x = F.col(vec).cast("array<double>")
 
     def dist(s):
         d = F.zip_with(x, s["v"], lambda a, b: (a - b) * (a - b))
         return F.struct(F.sqrt(F.aggregate(d, F.lit(0.0), lambda acc, v: acc + v)).alias("d"), s["c"].alias("c"))
-    return df.withColumn("pred", F.array_min(F.transform(cents, dist))["c"])
+    return df.withColumn("pred", F.array_min(F.transform("pred", dist))["c"])

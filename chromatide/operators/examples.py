@@ -122,6 +122,17 @@ def stack_sequences(seqs: DataFrame, key: str, rank: str = "rank", ids: str = "i
                                              lambda s: s[ids]).alias("input_ids_of_seqs"))
 
 
+def stack_windows(windows: DataFrame, key: str, rank: str = "rank", col: str = "window", eos: bool = True) -> DataFrame:
+    """A12 from bases: gather a cell's ranked windows as text, then tokenise each (CLS + char ids, + SEP).
+
+    One byte a base is shuffled, a quarter of its token; only windows that some
+    cell ranks are tokenised. A null window is left out, an empty one has the
+    special tokens alone.
+    """
+    gathered = windows.where(F.col(col).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(rank, col))).alias("_w"))
+    return gathered.select(key, F.transform("_w", lambda s: add_specials(char_ids(s[col]), eos)).alias("input_ids_of_seqs"))
+
+
 def sequence_ids(windows: DataFrame, col: str = "window", eos: bool = True) -> DataFrame:
     """Window bases -> CLS + char ids (+ SEP)."""
     return windows.withColumn("ids", add_specials(char_ids(col), eos))

@@ -56,17 +56,16 @@ def few_shot(df: DataFrame, label: str, key: str, shots: int, seed: int) -> Data
     return df.withColumn("shot", F.row_number().over(w)).where(F.col("shot") <= shots)
 
 
-def with_shots(queries: DataFrame, shots: DataFrame, label: str, key: str, max_rows: int = 10_000) -> DataFrame:
-    """Put the shot ids (ordered by class, then shot) in front of each query row.
+def with_shots(queries: DataFrame, shots: DataFrame, label: str, key: str) -> DataFrame:
+    """Put the shot ids (ordered by class, then shot; null classes first) in front of each query row, its own id left out.
 
-    The shot table is bounded by shots x classes; its size is checked and it is
-    attached as a literal list.
+    Every result row holds the list (shots x classes ids), so it fits in a row;
+    it is gathered inside the plan, as a scalar subquery. Without shots the
+    list is empty.
     """
-    rows = shots.select(label, "shot", key).orderBy(label, "shot").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError("shot table exceeds its bound")
-    lit = F.array(*[F.lit(r[key]) for r in rows])
-    return queries.withColumn("shot_ids", F.filter(lit, lambda x: x != F.col(key)))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col(label).isNotNull().alias("_k"), F.col(label).alias("_l"), F.col("shot").alias("_s"), F.col(key).alias("_id")))), lambda s: s["_id"])
+    listed = queries.withColumn("shot_ids", shots.agg(ids.alias("shot_ids")).scalar())
+    return listed.withColumn("shot_ids", F.filter("shot_ids", lambda x: ~x.eqNullSafe(F.col(key))))
 
 
 def weighted_sample(df: DataFrame, total: int, species: str, contig: str, key: str, seed: int) -> DataFrame:

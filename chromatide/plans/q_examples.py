@@ -182,12 +182,10 @@ def seq_pack_slots(spark, sf):
 # ---- nested sequence examples --------------------------------------------------------
 
 def cell_windows(i: Inputs):
-    """(cell, rank, ids) for each cell's top-K regions: val window (Q01) -> CLS + ids + SEP."""
+    """(cell, rank, window) for each cell's top-K regions: the bases of the val window (Q01)."""
     orders = topk(i.counts, K_SEQ).select("cell", "rank", F.col("feature_idx").alias("region_id"))
     w = window_fixed(i.regions, QS.chunks(i), QS.L, size=QS.CHUNK)
-    # tokenise once per region, then attach to every cell that ranks it
-    ids = X.sequence_ids(w).select("region_id", "ids")
-    return orders.join(ids, "region_id").select("cell", "rank", "ids")
+    return orders.join(w.select("region_id", "window"), "region_id").select("cell", "rank", "window")
 
 
 NESTED_MD5 = "md5(array_join(transform(input_ids_of_seqs, s -> array_join(cast(s AS array<string>), ',')), '|'))"
@@ -202,7 +200,7 @@ SEQS_SQL = f"""WITH o AS (SELECT * FROM (SELECT cell, feature_idx AS region_id,
 
 
 def nested(i: Inputs):
-    st = X.stack_sequences(cell_windows(i), "cell")
+    st = X.stack_windows(cell_windows(i), "cell")
     return st.select("cell", F.size("input_ids_of_seqs").cast("bigint").alias("n_seqs"),
                      F.expr(NESTED_MD5).alias("seqs_md5"))
 

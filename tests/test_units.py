@@ -290,3 +290,30 @@ def test_kmer_hits_keep_frequent_tiles(spark):
     got = H.kmer_hits(q, t).collect()
     assert sorted(r["t_name"] for r in got) == sorted(f"t{i}" for i in range(2100))
     assert all((r["n_seeds"], r["identity"], r["q_start"], r["q_end"]) == (2, 100.0, 0, 22) for r in got)
+
+
+def test_windows_are_tokenised_after_the_gather(spark):
+    from chromatide.operators import examples as X
+    rows = [("a", 2, "ACGT"), ("a", 1, "NNx"), ("b", 1, ""), ("b", 2, None), (None, 1, "T")]
+    df = spark.createDataFrame(rows, "cell string, rank int, window string")
+    before = X.stack_sequences(X.sequence_ids(df.where("window is not null")), "cell")
+    got = X.stack_windows(df, "cell")
+    assert sorted(map(str, got.collect())) == sorted(map(str, before.collect())) and got.count() == 3
+    assert {r["cell"]: r["input_ids_of_seqs"] for r in got.collect()}["a"] == [[0, 11, 11, 6, 1], [0, 7, 8, 9, 10, 1]]
+    assert X.stack_windows(df.limit(0), "cell").count() == 0
+
+
+def test_shots_and_centroids_inside_the_plan(spark):
+    from chromatide.operators import evaluate as E
+    from chromatide.operators import sampling as Z
+    made = spark.createDataFrame([(i, f"c{i % 3}" if i % 7 else None) for i in range(40)], "id long, kind string")
+    shots = Z.few_shot(made, "kind", "id", 2, 5)
+    want = [r["id"] for r in sorted(shots.collect(), key=lambda r: (r["kind"] or "", r["shot"]))]
+    got = {r["id"]: r["shot_ids"] for r in Z.with_shots(made, shots, "kind", "id").collect()}
+    assert len(want) == 8 and got == {i: [x for x in want if x != i] for i in range(40)}
+    assert all(r["shot_ids"] == [] for r in Z.with_shots(made, shots.limit(0), "kind", "id").collect())
+    vectors = spark.createDataFrame([(0, [0.0, 0.0]), (0, [2.0, 0.0]), (1, [9.0, 0.0]), (2, [11.0, 0.0]), (None, [1.0, 1.0])], "label int, v array<double>")
+    cents = E.fit_centroids(vectors, "label", "v")
+    tie = spark.createDataFrame([([10.0, 0.0],), ([1.0, 1.0],), (None,)], "v array<double>")
+    assert [r["pred"] for r in E.score_centroids(tie, cents, "label", "v").collect()][:2] == [1, 0]
+    assert all(r["pred"] is None for r in E.score_centroids(tie, cents.limit(0), "label", "v").collect())

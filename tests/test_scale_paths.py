@@ -98,3 +98,22 @@ def test_matrix_market_parts_are_the_file(spark):
     coo, dims = IO.read_mtx(spark, path)
     assert dims == (10, 40, 400)
     assert {(r["cell"], r["feature"], r["n"]) for r in coo.collect()} == {(str(i % 40), str(i // 40), i + 1) for i in range(400)}
+
+
+def test_every_feature_is_ranked_without_dense_rows_in_a_shuffle(spark):
+    from chromatide.operators import matrix as M
+    rng = random.Random(2)
+    features = [3 * f for f in range(37)]
+    counts = [(c, f, rng.choice([0, 1, 1, 2])) for c in [1, 2, 5, 8] for f in features if rng.random() < 0.3] + [(9, f, 1) for f in features] + [(1, 4, 7), (None, 6, 2)]
+    df = spark.createDataFrame(counts, "cell long, feature_idx long, n long")
+    out = M.topk_all(df, spark.createDataFrame([(f,) for f in features * 2], "feature_idx long"), block=5, cells_per_part=2)
+    got = sorted([(r["cell"] or 0, r["rank"], r["feature_idx"], r["n"]) for r in out.collect()])
+    want = []
+    for c in sorted({c or 0 for c, _, n in counts if n}):
+        top = sorted((-n, f) for d, f, n in counts if (d or 0) == c and n)
+        have = {f for _, f in top} if c else set()      # a null cell is no key: its zero features are all of them
+        rows = [(f, -m) for m, f in top] + [(f, 0) for f in features if f not in have]
+        want += [(c, k, f, n) for k, (f, n) in enumerate(rows[:len(features)], 1)]
+    assert got == sorted(want)
+    plan = out._jdf.queryExecution().toString()
+    assert "LeftAnti" not in plan

@@ -124,6 +124,27 @@ def test_x_inverse_transform_last_duplicate(spark):
     assert dense["vector"][2] == 0.0 and len(dense["vector"]) == 3
 
 
+@pytest.mark.parametrize("block", [None, 3])
+def test_dense_vectors_from_blocks(spark, monkeypatch, block):
+    """Several blocks, a feature index that comes twice or is null, a null cell, a missing value; no dense row is shuffled."""
+    monkeypatch.setattr(S, "DENSE_BLOCK", 4)
+    ids = [None, 3, 5, 5, 8, 9, 11, 20, 21, 22]
+    dic = spark.createDataFrame([(i, f"G{i}") for i in ids], "feature_idx long, feature string")
+    values = {(1, 5): 2.5, (1, 22): -1.0, (2, 3): 4.0, (None, 3): 7.0, (2, 99): 1.0}
+    rows = [(c, f, v) for (c, f), v in values.items()] + [(2, 8, None), (2, 9, float("nan"))]
+    df = spark.createDataFrame(rows, "cell long, feature_idx long, value double")
+    cells = spark.createDataFrame([(1,), (2,), (3,), (None,)], "cell long")
+    want = {c: [0.0 if c is None else values.get((c, f), 0.0) for f in ids] for c in (1, 2, 3, None)}
+    got = S.densify(df, dic, cells, block)
+    if block is None:
+        assert {r["cell"]: r["vector"] for r in got.collect()} == want
+        return
+    parts = sorted(got.collect(), key=lambda r: r["block"])
+    assert {c: [x for r in parts if r["cell"] == c for x in r["vector"]] for c in want} == want
+    assert [x for r in parts if r["cell"] == 3 for x in r["ids"]] == ids
+    assert max(len(r["ids"]) for r in parts) == block
+
+
 def test_y_nearest_label_ties_by_text(spark):
     p = spark.createDataFrame([("ab", "ab"), ("cd", "ab"), ("zz", "xy")], "gt string, pred string")
     got = {r["pred"]: r["nearest"] for r in EV.nearest_label(p, ["ab", "cd", "xy"]).collect()}

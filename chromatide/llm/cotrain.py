@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,10 @@ from .common import free_name, written
 
 BITS = 18
 WORD = re.compile(r"[^\W\d_]+")
+NOT_ASCII = re.compile(r"[^\x00-\x7f]")
+#: ASCII characters that are no letters become blanks.
+BLANKS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+UPPER, DIGITS = string.ascii_uppercase.encode(), string.digits.encode()
 #: Bound of the labelled sample: this many ids, the least hashes of doc_id. The unlabelled documents are not sampled.
 LABELLED = 8_000
 #: Rounds of exchange; a view is sure of a document from this probability of its label.
@@ -41,6 +48,7 @@ LEAST_CHI2 = 25.0
 STEPS_OF_SHARE = [k / 100 for k in range(10)] + [k / 20 for k in range(2, 20)]
 
 
+@lru_cache(1 << 12)
 def _slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
@@ -48,20 +56,43 @@ def _slot(name: str) -> int:
 def text_features(text: str | None) -> list[int]:
     """Slots of the words and of the binned statistics of a whole text, each once."""
     text = text or ""
-    words = WORD.findall(text.lower())
+    words = _words(text)
     chars, parts = max(1, len(text)), text.split()
     count = Counter(parts)
     lines = [x for x in text.split("\n") if x.strip()]
+    data, others = text.encode("utf-8", "surrogatepass"), _not_ascii(text)
+    upper, digits = (len(data) - len(data.translate(None, plain)) + sum(text.count(c) for c in others if kind(c))
+                     for plain, kind in ((UPPER, str.isupper), (DIGITS, str.isdigit)))
     share = {
         "symbol": sum(map(text.count, "#*$%&|<>")) / chars, "bang": text.count("!") / chars,
-        "upper": sum(map(str.isupper, text)) / chars, "digit": sum(map(str.isdigit, text)) / chars,
+        "upper": upper / chars, "digit": digits / chars,
         "top": max(count.values(), default=0) / max(1, len(parts)), "distinct": len(count) / max(1, len(parts)),
         "lines": 1 - len(set(lines)) / max(1, len(lines)), "short": sum(len(x) < 20 for x in lines) / max(1, len(lines)),
     }
     # a slot for each step that a share reaches: hundredths up to 0.1, then twentieths
-    stats = {f"~{k}>{step}" for k, v in share.items() for step in STEPS_OF_SHARE if v > step}
-    stats.add(f"~words:{len(words).bit_length()}")
-    return sorted({_slot(x) for x in stats.union(words)})
+    found = {zlib.crc32(x) & ((1 << BITS) - 1) for x in set(words)}
+    found.add(_slot(f"~words:{len(words).bit_length()}"))
+    for k, v in share.items():
+        found.update(_step_slots(k)[:bisect_left(STEPS_OF_SHARE, v)])
+    return sorted(found)
+
+
+@lru_cache(None)
+def _step_slots(share: str) -> list[int]:
+    return [_slot(f"~{share}>{step}") for step in STEPS_OF_SHARE]
+
+
+def _words(text: str) -> list[bytes]:
+    """The runs of ``WORD`` of the lower-cased text, in UTF-8: all else becomes blanks, then the bytes are split."""
+    text = text.lower()
+    for c in _not_ascii(text):
+        if not WORD.match(c):
+            text = text.replace(c, " ")
+    return text.encode("utf-8", "surrogatepass").translate(BLANKS).split()
+
+
+def _not_ascii(text: str) -> set[str]:
+    return set() if text.isascii() else set(NOT_ASCII.findall(text))
 
 
 def page_features(lang: str | None, source: str | None, n_chars: float | None) -> list[int]:
@@ -87,6 +118,13 @@ class Csr:
         """Rows whose slots stand as 32-bit numbers in bytes."""
         return cls(np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 4 for r in rows], np.int64))
 
+    @classmethod
+    def short(cls, rows: list[bytes]) -> Csr:
+        """Rows written by :func:`shortened`."""
+        high = np.frombuffer(b"".join([r[:16] for r in rows]), np.uint32).reshape(-1, 4).astype(np.int64)
+        low = np.frombuffer(b"".join([r[16:] for r in rows]), np.uint16).astype(np.int32)
+        return cls(low + (np.repeat(np.tile(np.arange(4, dtype=np.int32), len(high)), high.ravel()) << 16), high.sum(1))
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.index], minlength=len(self.size))
 
@@ -94,6 +132,12 @@ class Csr:
         return np.bincount(self.index, weights=e[self.row], minlength=1 << BITS)
 
 
+def shortened(slots: list[int]) -> bytes:
+    """Ascending slots in half the bytes: how many have each value of the two high bits, then the 16 low bits of all."""
+    all_bits = np.array(slots, np.uint32)
+    return np.bincount(all_bits >> 16, minlength=4).astype(np.uint32).tobytes() + all_bits.astype(np.uint16).tobytes()
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -130,13 +174,13 @@ def block_sums(xs: list[Csr], teachers: list[View], students: list[View] | None
 
 
 def pool_sums(pool: DataFrame, teachers: list[View], students: list[View] | None = None, used: list[np.ndarray] | None = None) -> np.ndarray:
-    """:func:`block_sums` over all rows of ``pool`` (t, p: packed slots), summed in tasks and then by slot: 2**20 rows at most come back."""
+    """:func:`block_sums` over all rows of ``pool`` (t, p: slots as :func:`unlabelled` packs them), summed in tasks and then by slot: 2**20 rows at most come back."""
     shared = pool.sparkSession.sparkContext.broadcast((teachers, students, used))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for batch in batches:
-            total = total + block_sums([Csr.packed(batch.column(c).to_pylist()) for c in ("t", "p")], *shared.value)
+            total = total + block_sums([opened(batch.column(c).to_pylist()) for c, opened in (("t", Csr.short), ("p", Csr.packed))], *shared.value)
         if not isinstance(total, int):
             flat = total.ravel()
             at = np.flatnonzero(flat)
@@ -255,22 +299,35 @@ def bad_labels(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(bad).alias("bad"))
 
 
-def _featured(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the packed slots of both views (t, p) of every row."""
+def _whole(slots: list[int]) -> bytes:
+    return np.array(slots, np.int32).tobytes()
+
+
+def _featured(docs: DataFrame, pack: Callable[[list[int]], bytes] = _whole) -> DataFrame:
+    """(doc_id, x): the packed slots of both views (t, p) of every row; ``pack`` packs those of the text."""
     @F.pandas_udf("t binary, p binary")
     def features(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for text, lang, source, n_chars in parts:
-            yield pd.DataFrame({"t": [np.array(text_features(x), np.int32).tobytes() for x in text],
-                                "p": [np.array(page_features(*x), np.int32).tobytes() for x in zip(lang, source, n_chars)]})
+            yield pd.DataFrame({"t": [pack(text_features(x)) for x in text],
+                                "p": [_whole(page_features(*x)) for x in zip(lang, source, n_chars)]})
 
     return docs.select("doc_id", features("text", "lang", "source", F.col("n_chars").cast("double")).alias("x"))
 
 
+def _marked(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, x, bad): the slots of every row, the text's shortened, with the label of its doc_id in ``known`` or null.
+
+    Few known ids are joined as many are: a join that broadcasts them up to some
+    size and then shuffles the slots would need much more disk from there on.
+    """
+    return _featured(docs, shortened).hint("merge").join(known, "doc_id", "left")
+
+
 def unlabelled(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Packed slots (t, p) of every row of ``docs`` whose doc_id is not in ``known`` (doc_id, bad), written once; texts are not shuffled, only slots may be."""
+    """Packed slots (t, p) of every row of ``docs`` whose doc_id is not in ``known`` (doc_id, bad), written once; texts are not shuffled."""
     path = scratch_path(docs.sparkSession, "unlabelled")
     # A left join with a filter: an anti-join would be moved below the features, and shuffle texts.
-    _featured(docs).join(known, "doc_id", "left").where("bad is null").select("x.t", "x.p").write.parquet(path)
+    _marked(docs, known).where("bad is null").select("x.t", "x.p").write.parquet(path)
     return docs.sparkSession.read.schema("t binary, p binary").parquet(path)
 
 

@@ -345,6 +345,33 @@ def test_cotraining_sums_against_brute_force(spark):
         assert np.allclose(a.weights, b.weights, atol=1e-4) and abs(a.bias - b.bias) < 1e-4
 
 
+def test_cotraining_slots_shortened(spark):
+    """Half the bytes are written and shuffled, the same slots come back; few known ids take the way of many (no broadcast)."""
+    made = [[], [0], [5, 65_535, 65_536, 131_072, (1 << cotrain.BITS) - 1], list(range(0, 1 << cotrain.BITS, 3)), []]
+    got = cotrain.Csr.short([cotrain.shortened(x) for x in made])
+    assert got.size.tolist() == [len(x) for x in made] and got.index.tolist() == sum(made, [])
+    assert len(cotrain.shortened(made[3])) == 16 + 2 * len(made[3])
+    df = spark.createDataFrame([(i, f"word{i}", "en", "s", 5) for i in range(9)] + [(None, "x", None, None, None)],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame([(2, 1.0), (4, 0.0)], "doc_id long, bad double")
+    assert cotrain.unlabelled(df, known).count() == 8
+    rows = cotrain._marked(df, known)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in rows and "Broadcast" not in rows
+
+
+@pytest.mark.parametrize("text", ["Ab CD_9x1 \u00b2y \u01c5\u0130Z\u0663 na\u00efve\u2014caf\u00c9!", "", "PLAIN text, 12 Words_of 3", "\u00df\u00c9\u00c9 \u0301q"])
+def test_cotraining_words_and_shares(text):
+    words = cotrain.WORD.findall(text.lower())
+    assert cotrain._words(text) == [w.encode() for w in words]
+    slots = cotrain.text_features(text)
+    for name, kind in (("upper", str.isupper), ("digit", str.isdigit)):
+        share = sum(map(kind, text)) / max(1, len(text))
+        for step in cotrain.STEPS_OF_SHARE:
+            if share > step:
+                assert cotrain._slot(f"~{name}>{step}") in slots
+    assert slots == sorted(set(slots)) and {cotrain._slot(w) for w in words} <= set(slots)
+
+
 def test_contamination(spark, docs, none):
     words = PROSE.split()
     items = spark.createDataFrame([(1, " ".join(words[3:14])), (2, "1 2, 3"), (3, None), (4, "  "), (5, "no such phrase here"), (1, " ".join(words[3:14])), (None, "again")], "item_id long, text string")

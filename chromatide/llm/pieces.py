@@ -26,6 +26,8 @@ NO_PAIR = np.iinfo(np.int32).max
 SLICE_CHARS, SLICE_IDS, CACHE_CHARS = 1 << 19, 1 << 17, 4_000_000
 #: Texts taken from an Arrow batch at once.
 ROWS_AT_ONCE = 256
+#: Rows of one batch given back: a worker holds the ids or texts of these only, however large its batches are.
+ROWS_OUT = 1024
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -394,13 +396,18 @@ def _encoder(path: str) -> TextEncoder:
     return _ENCODERS[path]
 
 
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, at most ROWS_OUT at once."""
+    return (batch.slice(at, ROWS_OUT) for batch in batches for at in range(0, batch.num_rows, ROWS_OUT))
+
+
 def _with_column(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
     """``df`` with a column that ``make`` builds from each Arrow batch; a column of that name is replaced."""
     kept = [f for f in df.schema.fields if f.name.lower() != name.lower()]
     places = [k for k, f in enumerate(df.schema.fields) if f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in places], make(batch)], names=[*[f.name for f in kept], name])
 
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(name, kind)]))

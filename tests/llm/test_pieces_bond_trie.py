@@ -6,11 +6,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as E
 from chromatide.llm import bond, pieces, trie
@@ -246,3 +248,25 @@ def test_trie_against_brute_force(spark, spine_rows, shard_rows, monkeypatch):
 def test_trie_of_no_rows(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert trie.prefix_trie(trie.shared_openings(trie.numbered_turns(df))).count() == 0
+
+
+def test_batches_given_back_in_parts(monkeypatch):
+    """A worker holds ids and texts of a bounded number of rows; sliced lists are decoded as whole ones."""
+    monkeypatch.setattr(pieces, "ROWS_OUT", 10)
+    texts = [None if i % 7 == 3 else "" if i % 5 == 1 else f"row {i} é" * (i % 4) for i in range(34)]
+
+    class Table:
+        def __init__(self, *fields):
+            self.schema, self.columns = T.StructType([T.StructField(n, k) for n, k in fields]), [n for n, _ in fields]
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    encoded = list(pieces.encode_texts(Table(("text", T.StringType())), MODEL)(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in encoded] == [10, 10, 10, 4]
+    whole = pa.Table.from_batches(encoded).combine_chunks().to_batches()[0]
+    decode = pieces.decode_ids(Table(("text", T.StringType()), ("ids", T.ArrayType(T.IntegerType()))), MODEL)
+    decoded = list(decode(iter([whole])))
+    assert [b.num_rows for b in decoded] == [10, 10, 10, 4]
+    assert [x for b in decoded for x in b.column(2).to_pylist()] == [t or "" for t in texts]

@@ -216,15 +216,13 @@ def corr_sql(src: str) -> str:
 SELECT sample, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(macro_f1, 6) AS macro_f1 FROM acc JOIN mac USING (sample)""")
 def eval_token_metrics(spark, sf):
-    tp = E.token_pairs(token_samples(Inputs(spark, sf)), "sample")
-    m = E.macro_metrics(tp, "y", "p", ["sample"])
+    m = E.token_macro(token_samples(Inputs(spark, sf)), "sample")
     return _r6(m.select("sample", "accuracy", "precision", "recall", "macro_f1"),
                ["accuracy", "precision", "recall", "macro_f1"])
 
 
 def _corr(spark, sf, col):
-    tp = E.token_pairs(token_samples(Inputs(spark, sf)), "sample")
-    return _r6(E.correlations(tp, "sample").select("sample", col), [col])
+    return _r6(E.token_correlations(token_samples(Inputs(spark, sf)), "sample").select("sample", col), [col])
 
 
 @query("eval_pearson", views=("contigs",), sql=corr_sql(samples_sql()) + " SELECT sample, round(pearson, 6) AS pearson FROM c")
@@ -255,8 +253,8 @@ MACRO, CORR = ["accuracy", "precision", "recall", "macro_f1"], ["pearson", "spea
 ({corr_sql(samples_sql())} SELECT {_mean_sql(CORR)} FROM c) b""")
 def eval_token_means(spark, sf):
     """E06-E09 as the report gives them: each metric's mean over the samples (undefined ones left out)."""
-    tp = E.token_pairs(token_samples(Inputs(spark, sf)), "sample")
-    per = E.macro_metrics(tp, "y", "p", ["sample"]).join(E.correlations(tp, "sample"), "sample", "left")
+    samples = token_samples(Inputs(spark, sf))
+    per = E.token_macro(samples, "sample").join(E.token_correlations(samples, "sample"), "sample", "left")
     return per.agg(F.count(F.lit(1)).alias("n_samples"),
                    *[F.round(F.avg(F.when(~F.isnan(c), F.col(c))), 6).alias(c) for c in MACRO + CORR])
 

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from chromatide.operators import sequences as S
 from chromatide.operators import stats as ST
+from chromatide.operators.common import materialize
 from chromatide.operators.orders import orders_long, orders_wide
 from chromatide.operators.regions import call_peaks
 from chromatide.plans.fixtures import Inputs
@@ -256,7 +257,7 @@ def snk_text_corpus(spark, sf):
     from chromatide.operators.sampling import split
     i = Inputs(spark, sf)
     vs = M.vocab_sorted(M.vocabulary(i.counts, i.features))
-    sent = SE.sentence_strings(i.sentences, i.features, " ")
+    sent = materialize(SE.sentence_strings(i.sentences, i.features, " "))   # read for the split and for the text
     sent = sent.join(split(sent.select("cell"), "cell", seed=42), "cell")
     path = scratch_path(spark, "corpus")
     IO.export_corpus(vs, sent, path, "hs")

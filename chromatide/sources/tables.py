@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromatide.operators.common import global_position
+from chromatide.operators.common import global_position, materialize
 
 BED3 = T.StructType([T.StructField("chrom", T.StringType()), T.StructField("start_pos", T.LongType()),
                      T.StructField("end_pos", T.LongType())])
@@ -199,6 +199,7 @@ def export_corpus(vocab_sorted: DataFrame, sentences: DataFrame, path: str, tag:
     ``sentences`` has (cell, sentence, split).  Test barcodes go to their own
     files (the reference overwrote the train barcode file).
     """
+    sentences = materialize(sentences.select("cell", "sentence", "split"))   # six files are written from it
     vocab_sorted.orderBy("vocab_rank").select(F.concat_ws(" ", "feature", F.col("n_cells").cast("string")).alias("value")) \
         .write.mode("overwrite").text(f"{path}/vocab_{tag}")
     for s in ["train", "test", "valid"]:

@@ -117,3 +117,25 @@ def test_every_feature_is_ranked_without_dense_rows_in_a_shuffle(spark):
     assert got == sorted(want)
     plan = out._jdf.queryExecution().toString()
     assert "LeftAnti" not in plan
+
+
+def _counted(spark, rows, schema):
+    """A frame, and the number of times one of its rows was made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            made.add(len(part))
+            yield part
+    return spark.createDataFrame(rows, schema).mapInPandas(count, schema), made
+
+
+def test_corpus_export_makes_each_sentence_once(spark, tmp_path):
+    from chromatide.sources.tables import export_corpus
+    rows = [(1, "a b", "train"), (2, "b", "test"), (3, None, "valid"), (3, "c", "valid"), (4, "d", None)]
+    sent, made = _counted(spark, rows, "cell long, sentence string, split string")
+    vocab = spark.createDataFrame([("a", 1, 2), ("b", 2, 1)], "feature string, n_cells long, vocab_rank long")
+    export_corpus(vocab, sent, str(tmp_path), "hs")
+    assert made.value == len(rows)
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/valid_barcodes_hs").collect()) == ["3", "3"]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/test_hs").collect()] == ["b"]

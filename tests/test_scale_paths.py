@@ -139,3 +139,12 @@ def test_corpus_export_makes_each_sentence_once(spark, tmp_path):
     assert made.value == len(rows)
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/valid_barcodes_hs").collect()) == ["3", "3"]
     assert [r.value for r in spark.read.text(f"{tmp_path}/test_hs").collect()] == ["b"]
+
+
+def test_merged_samples_are_made_once(spark):
+    from chromatide.operators.matrix import merge_samples
+    a, made = _counted(spark, [("c1", "f2", 1), ("c1", "f2", 1), ("c2", "f1", 3)], "cell_name string, feature string, n long")
+    b = spark.createDataFrame([("c3", "f3")], "cell_name string, feature string")
+    got = [tuple(r) for r in merge_samples([a, b]).orderBy("cell_name").select("cell_name", "feature", "n", "merged_idx").collect()]
+    assert made.value == 3
+    assert got == [("c1", "f2", 1, 2), ("c1", "f2", 1, 2), ("c2", "f1", 3, 1), ("c3", "f3", None, 3)]

@@ -1,8 +1,10 @@
 """Hand-made tables for the semantic facts of SURVEY §1.3 (a..gg) and operator details."""
 
 import math
+import random
 
 import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,3 +340,40 @@ def test_shots_and_centroids_inside_the_plan(spark):
     tie = spark.createDataFrame([([10.0, 0.0],), ([1.0, 1.0],), (None,)], "v array<double>")
     assert [r["pred"] for r in E.score_centroids(tie, cents, "label", "v").collect()][:2] == [1, 0]
     assert all(r["pred"] is None for r in E.score_centroids(tie, cents.limit(0), "label", "v").collect())
+
+
+def test_fasta_lines_are_joined_to_pieces():
+    import pyarrow as pa
+    from chromatide.sources.genome import _walk
+    lines = ["TT", ">chr1"] + ["ACGTACGTAC"] * 100 + ["é", ">chr2", "", "GG"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(lines)), pa.array(lines), pa.array([3] * len(lines), pa.int32()),
+                                        pa.array(range(len(lines)), pa.int64())], ["_file", "_line", "_pid", "_mid"])
+    got = [r for b in _walk(iter([batch.slice(0, 50), batch.slice(50)]), ">chr", 400, True) for r in b.to_pylist()]
+    assert [(r["_file"], r["_inst"], r["_off"], r["_len"]) for r in got[:3]] == [("f", None, 0, 2), (None, 1, 0, 400), (None, 1, 400, 80)]
+    assert "".join(r["_line"] for r in got if r["_inst"] == 1) == "ACGTACGTAC" * 100 + "é"
+    marks = [r for b in _walk(iter([batch]), ">chr", 400, False) for r in b.to_pylist()]
+    assert [(r["_inst"], r["_off"], r["_len"], r["_line"]) for r in marks] == [(1, 0, None, ">chr1"), (103, 0, None, ">chr2"), (103, 2, 2, None)]
+
+
+def test_fasta_contigs_over_many_partitions(spark, tmp_path):
+    from chromatide.sources.genome import read_fasta
+    rng = random.Random(3)
+    want = {}
+    for name in ("one", "two"):
+        text = "skipped\n"
+        for c in range(4):
+            seq = "".join(rng.choice("ACGTN") for _ in range([700, 0, 1, 333][c]))
+            want[name, f"chr{c}"] = seq
+            text += f">chr{c}\n" + "".join(seq[i:i + 7] + "\n" for i in range(0, len(seq), 7))
+        (tmp_path / f"{name}.fa").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        rows = read_fasta(spark, [str(tmp_path / "one.fa"), str(tmp_path / "two.fa")], 50).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {}
+    for r in sorted(rows, key=lambda r: r["chunk_id"]):
+        assert len(r["seq"]) <= 50
+        got[r["genome"], r["contig"]] = got.get((r["genome"], r["contig"]), "") + r["seq"]
+    assert got == {k: v for k, v in want.items() if v}

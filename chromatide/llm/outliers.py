@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,9 +96,9 @@ def _products() -> dict[str, Column]:
     return out | {f"q{i}{j}": F.col(NAMES[i]) * F.col(NAMES[j]) for i in range(p) for j in range(i + 1)}
 
 
-def _sums(rows: DataFrame, *by: str) -> DataFrame:
-    """Per group and start (and ``by``): the number of rows ``m`` and the sums of the variables and of their products."""
-    return rows.groupBy("g", "start", *by).agg(F.count(F.lit(1)).cast("double").alias("m"), *[F.sum(c).alias(k) for k, c in _products().items()])
+def _sums(rows: DataFrame) -> DataFrame:
+    """Per group and start: the number of rows ``m`` and the sums of the variables and of their products."""
+    return rows.groupBy("g", "start").agg(F.count(F.lit(1)).cast("double").alias("m"), *[F.sum(c).alias(k) for k, c in _products().items()])
 
 
 def _estimate(sums: DataFrame, factor: float) -> DataFrame:
@@ -130,16 +129,14 @@ def _nearest(rows: DataFrame, side) -> DataFrame:
     the covered part its size, however many they are.
     """
     cut = rows.groupBy("g", "start").agg(F.percentile_approx("d2", COVER, 10_000).alias("cut"), F.count(F.lit(1)).alias("n"))
-    near = _sums(rows.join(side(cut), ["g", "start"]).where("d2 <= cut").withColumn("tie", F.col("d2") == F.col("cut")), "n", "tie")
-    names = ["m", *_products()]
-
-    def of(c, tie):
-        return F.sum(F.when(F.col("tie") == tie, F.col(c)).otherwise(0.0))
-    both = near.groupBy("g", "start", "n").agg(*[of(c, tie).alias(f"{c}_{int(tie)}") for c in names for tie in (False, True)])
+    near = rows.join(side(cut), ["g", "start"]).where("d2 <= cut").withColumn("tie", F.col("d2") == F.col("cut"))
+    terms = {"m": F.lit(1.0), **_products()}
+    both = near.groupBy("g", "start").agg(F.first("n").alias("n"), *[F.sum(F.when(F.col("tie") == tie, c).otherwise(0.0)).alias(f"{name}_{int(tie)}")
+                                                                   for name, c in terms.items() for tie in (False, True)])
     size = COVER * F.col("n")
     both = both.withColumn("w0", F.least(F.lit(1.0), size / F.greatest("m_0", F.lit(1.0))))
     both = both.withColumn("w1", F.least(F.lit(1.0), F.greatest(F.lit(0.0), size - F.col("m_0")) / F.greatest("m_1", F.lit(1.0))))
-    return both.select("g", "start", *[(F.col("w0") * F.col(f"{c}_0") + F.col("w1") * F.col(f"{c}_1")).alias(c) for c in names])
+    return both.select("g", "start", *[(F.col("w0") * F.col(f"{c}_0") + F.col("w1") * F.col(f"{c}_1")).alias(c) for c in terms])
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -177,15 +174,14 @@ def mcd_distances(rows: DataFrame) -> DataFrame:
         measured = rows.join(side(last), "g").select("g", "start", *NAMES, _squared_distance().alias("d2"))
         return _estimate(_nearest(measured, side), factor)
 
-    last, rested = written(step(estimate)), []
-    while True:   # only groups and starts that still move are measured again
-        moved = step(last).join(last.select("g", "start", F.col("log_det").alias("before")), ["g", "start"])
-        moved = written(moved.where(F.col("log_det") < F.col("before") - LEAST_FALL).drop("before"))
-        rested.append(last.join(moved, ["g", "start"], "left_anti"))
-        if moved.isEmpty():
-            break
-        last = moved
-    estimate = written(reduce(DataFrame.unionByName, rested))
+    last = written(step(estimate).withColumn("moving", F.lit(True)))
+    values = [c for c in estimate.columns if c not in ("g", "start")]
+    falls = F.col("moving") & F.coalesce(F.col("_log_det") < F.col("log_det") - LEAST_FALL, F.lit(False))
+    while not last.where("moving").isEmpty():   # only groups and starts that still move are measured again
+        new = step(last.where("moving").drop("moving")).select("g", "start", *[F.col(c).alias(f"_{c}") for c in values])
+        last = written(last.join(side(new), ["g", "start"], "left")
+                       .select("g", "start", *[F.when(falls, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in values], falls.alias("moving")))
+    estimate = last.drop("moving")
     best = estimate.groupBy("g").agg(F.min_by(F.struct(*[c for c in estimate.columns if c != "g"]), F.struct("log_det", "start")).alias("e")).select("g", "e.*")
     return rows.join(side(best), "g").withColumn("d2", _squared_distance()).select(*rows.columns, "d2")
 

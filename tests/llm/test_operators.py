@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -422,6 +423,22 @@ def test_statistics_and_outliers(spark, none):
     assert abs(outliers.chi2_quantile(0.95, 4) - 9.4877) < 1e-3
 
 
+def test_a_concentration_step_has_few_exchanges(spark, monkeypatch):
+    plans = []
+
+    def kept(df):
+        if "moving" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+    written = outliers.written
+    monkeypatch.setattr(outliers, "written", kept)
+    rng = np.random.default_rng(5)
+    rows = [(i, float(i % 3), *map(float, rng.normal(size=4))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, x double, v1 double, v2 double, v3 double, v4 double").withColumn("g", F.col("x").cast("long"))
+    assert outliers.mcd_distances(df).where("d2 >= 0").count() == 300
+    assert len(plans) > 1 and all(p.count("Exchange hashpartitioning") <= 4 for p in plans)
+
+
 def test_a_third_of_copies_is_rejected(spark):
     rng = np.random.default_rng(2)
     words = "fox jumps over lazy dogs while seven wizards brew potions beside bridges".split()

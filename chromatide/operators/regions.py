@@ -125,8 +125,9 @@ def call_peaks(frags: DataFrame, by: list[str], min_cov: int = 2, chrom: str = "
 
 
 def tile(ranges: DataFrame, width: int, start: str = "start_pos", end: str = "end_pos") -> DataFrame:
-    """Q17: cut half-open ranges into consecutive windows of ``width`` (last one clipped)."""
-    t = ranges.withColumn("tile_start", F.explode(F.sequence(F.col(start), F.col(end) - 1, F.lit(width).cast("bigint"))))
+    """Q17: cut half-open ranges into consecutive windows of ``width`` (last one clipped); an empty range has none."""
+    starts = F.when(F.col(end) > F.col(start), F.sequence(F.col(start), F.col(end) - 1, F.lit(width).cast("bigint")))
+    t = ranges.withColumn("tile_start", F.explode(starts))
     return t.withColumn("tile_end", F.least(F.col("tile_start") + width, F.col(end)))
 
 

@@ -377,3 +377,10 @@ def test_fasta_contigs_over_many_partitions(spark, tmp_path):
         assert len(r["seq"]) <= 50
         got[r["genome"], r["contig"]] = got.get((r["genome"], r["contig"]), "") + r["seq"]
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_empty_ranges_have_no_tiles(spark):
+    from chromatide.operators.regions import tile
+    df = spark.createDataFrame([("a", 0, 5), ("b", 0, 0), ("c", 7, 3), ("d", 0, None), ("e", 4, 8)], "contig string, start_pos long, end_pos long")
+    got = sorted((r["contig"], r["tile_start"], r["tile_end"]) for r in tile(df, 4).collect())
+    assert got == [("a", 0, 4), ("a", 4, 5), ("e", 4, 8)]

@@ -66,3 +66,29 @@ def test_token_pairs_are_counted_inside_rows(spark):
 def test_contigs_are_lettered_in_batches_and_once(spark):
     plan = Q.chunk_contigs(Inputs(spark, "/root/testdata/sf0.001").contigs, 64)._jdf.queryExecution().executedPlan().toString()
     assert "translate(" not in plan and "regexp_replace(" not in plan and plan.count("look_up(") <= 2 and "ArrowEvalPython" in plan
+
+
+def test_bytes_of_features_beyond_unicode(spark):
+    """As the text of ``symbols`` up to its last feature, and bytes of their own for those beyond."""
+    from chromatide.operators.sentences import symbol_bytes, symbols
+    rng = random.Random(5)
+    lists = [[rng.choice([0, 7, 35_000, 35_329, 60_000, 1_092_095, rng.randrange(1_092_096)]) for _ in range(rng.randrange(6))] for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "i int, t array<long>").repartition(3)
+    assert df.select((symbol_bytes("t") == F.encode(symbols("t"), "UTF-8")).alias("same")).distinct().collect() == [(True,)]
+    far = [1_092_095, 1_092_096, 2_075_135, 2_075_136, 67_000_000, 68_000_000, 1 << 31, 1 << 35, 1 << 40, (1 << 40) + 1]
+    rows = [(i, [f, None, f]) for i, f in enumerate(far)] + [(100, None), (101, [])]
+    got = dict(spark.createDataFrame(rows, "i int, t array<long>").repartition(2).select("i", symbol_bytes("t")).collect())
+    assert got[100] is None and got[101] == b""
+    assert len({bytes(got[i]) for i in range(len(far))}) == len(far)
+    assert [len(got[i]) for i in range(len(far))] == [8, 8, 8, 10, 10, 12, 14, 14, 26, 26]
+
+
+def test_compression_distance_of_features_beyond_unicode(spark):
+    from chromatide.functions import strdist
+    from chromatide.operators import distance as D
+    from chromatide.operators.sentences import symbol_bytes
+    rows = [(1, [5, 9_000_000]), (2, [9_000_000, 9_000_001, 9_000_001]), (3, [])]
+    coded = spark.createDataFrame(rows, "cell long, t array<long>").select("cell", symbol_bytes("t").alias("s"))
+    text = dict(coded.collect())
+    got = {(r["i"], r["j"]): r["dist"] for r in D.distance_matrix(coded, "cell", "s", "zlib_ncd", 2).collect()}
+    assert got == {(i, j): strdist.zlib_ncd_row(bytes(text[i]), [bytes(text[j])], [strdist.compressed(bytes(text[j]))])[0] for i in text for j in text}

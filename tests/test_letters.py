@@ -92,3 +92,40 @@ def test_compression_distance_of_features_beyond_unicode(spark):
     text = dict(coded.collect())
     got = {(r["i"], r["j"]): r["dist"] for r in D.distance_matrix(coded, "cell", "s", "zlib_ncd", 2).collect()}
     assert got == {(i, j): strdist.zlib_ncd_row(bytes(text[i]), [bytes(text[j])], [strdist.compressed(bytes(text[j]))])[0] for i in text for j in text}
+
+
+def test_batches_are_worked_on_in_parts(monkeypatch):
+    import hashlib
+    import tracemalloc
+
+    import pyarrow as pa
+    rnd = random.Random(8)
+    texts = [None if rnd.random() < 0.1 else "".join(rnd.choice("ACé中\U0001f600") for _ in range(rnd.choice([0, 0, 1, 3, 40]))) for _ in range(200)]
+    lists = [None if t is None else [ord(c) % 12 for c in t] for t in texts]
+    nested = [None if i % 7 == 3 else [x or [] for x in lists[i:i + i % 4]] for i in range(200)]
+    for part in (1, 7, 1 << 20):
+        monkeypatch.setattr(L, "PART", part)
+        data, places = L._characters(pa.array(texts, pa.string())[3:])
+        first = [[c.encode()[0] for c in t or ""] for t in texts[3:]]
+        assert [data[a:b].tolist() for a, b in zip(places, places[1:])] == first
+        numbers = pa.array(lists, pa.list_(pa.int32()))[3:]
+        assert L._in_parts(numbers, L._places(numbers), lambda p: L._joined(p, ",")).to_pylist() == [None if x is None else ",".join(map(str, x)) for x in lists[3:]]
+        groups = pa.array(nested, pa.list_(pa.list_(pa.int32())))
+        want = [None if g is None else "|".join(",".join(map(str, x)) for x in g) for g in nested]
+        assert L._in_parts(groups, L._places(groups.flatten())[L._places(groups)], L._lists_text).to_pylist() == want
+        assert L.number_lists_md5(groups).to_pylist() == [None if t is None else hashlib.md5(t.encode()).hexdigest() for t in want]
+    long = pa.array(["ACGTé" * 1000] * 800)
+    tracemalloc.start()
+    L._characters(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6        # 4.8 MB of text; an eight-byte place for each byte, twice, would be 77 MB
+
+
+def test_token_lists_of_few_cells_are_held_at_once(spark):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    w = spark.range(40).selectExpr("id AS cell", "1 AS rank", "repeat('ACGT', 50000) AS window").coalesce(1)
+    held = (lambda groups: pa.array([len(groups)] * len(groups), pa.int64()), T.LongType())
+    got = X.stack_windows(w, "cell", then=held).coalesce(1).collect()
+    assert len(got) == 40 and {r["n_seqs"] for r in got} == {1} and max(r["input_ids_of_seqs"] for r in got) <= 8

@@ -1,16 +1,18 @@
 """Truncated SVD of a sparse matrix by randomised subspace iteration over blocks.
 
-The matrix lies in written blocks by (cell block, feature block); tall panels
-(one for each block of cells or of features) hold as many columns as components
-are sought and a few more.  A step multiplies each matrix block by the panel of
-its features or cells and sums the parts of a block.  Panels are made
-orthonormal by QR factors that are reduced in a tree, so the driver holds
-square matrices of the panels' width only, whatever the matrix's size.  There
-is one path for all sizes.
+The matrix lies in written blocks by (cell block, feature block); tall panels,
+one for each block of cells, hold as many columns as components are sought and a
+few more. A step is one pass: all blocks of some features meet the panels of
+their cells in one task, which multiplies by the matrix's transpose and at once
+by the matrix again, so the long side's panels are never written or sent. The
+parts of a cell block are summed. Panels are made orthonormal by QR factors that
+are reduced in a tree, so the driver holds square matrices of the panels' width
+only, whatever the matrix's size. There is one path for all sizes.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from chromatide.operators.common import materialize
 
-CELLS, FEATURES = 4096, 32_768   # rows of a panel of cells, of features
+CELLS, FEATURES = 4096, 65_536   # rows of a panel of cells, features of a task
+LEAST = 4096                     # features of a task where there are fewer tasks than cores
 FAN = 16                         # factors stacked at once in the tree of QR factors
 PANEL = "block int, ids binary, panel binary"
 
@@ -28,7 +31,8 @@ PANEL = "block int, ids binary, panel binary"
 def _blocked(values: DataFrame, cells: int, features: int) -> DataFrame:
     """Matrix blocks: the ids of their rows and columns, and the entries by place among these."""
     n = values.agg(F.countDistinct("cell"), F.countDistinct("feature")).first()
-    nc, nf = max(1, -(-n[0] // cells)), max(1, -(-n[1] // features))
+    cores = values.sparkSession.sparkContext.defaultParallelism
+    nc, nf = max(1, -(-n[0] // cells)), max(1, -(-n[1] // features), min(cores, -(-n[1] // LEAST)))
     dealt = values.select("*", F.pmod(F.xxhash64("cell"), F.lit(nc)).cast("int").alias("cb"), F.pmod(F.xxhash64("feature"), F.lit(nf)).cast("int").alias("fb"))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
@@ -45,43 +49,84 @@ def _open(row) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row["panel"]).reshape(len(ids), -1)
 
 
-def _times(matrix: DataFrame, panels: DataFrame, to_cells: bool, weights: np.ndarray) -> DataFrame:
-    """Panels of the matrix (or its transpose) times ``panels`` times the small matrix ``weights``."""
-    here, there = ("fb", "cb") if to_cells else ("cb", "fb")
-    own, other = ("cols", "rows") if to_cells else ("rows", "cols")
-    sent = (matrix.select("cb", "fb").join(panels.withColumnRenamed("block", here), here)
-            .select(F.col("cb").alias("to_cb"), F.col("fb").alias("to_fb"), "ids", "panel"))
+def _feature_blocks(batches: Iterator[pd.DataFrame], start) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
+    """(number, feature ids, their panel, matrix blocks) of each feature block of a partition sorted by (fb, cb, side).
 
-    def product(block: pd.DataFrame, panel: pd.DataFrame) -> pd.DataFrame:
-        b = block.iloc[0]
-        ids, z = _open(panel.iloc[0])
-        r, c = np.frombuffer(b["r"], np.int32), np.frombuffer(b["c"], np.int32)
-        (source, target) = (c, r) if to_cells else (r, c)
-        z = (z @ weights)[np.searchsorted(ids, np.frombuffer(b[own], np.int64))]
-        x, n = np.frombuffer(b["x"]), len(b[other]) // 8
-        out = np.stack([np.bincount(target, x * z[source, j], n) for j in range(z.shape[1])], axis=1)
-        return pd.DataFrame([(b[there], b[other], out.tobytes())], columns=["block", "ids", "panel"])
+    The panel is the matrix's transpose times the panels of the cells, or what the
+    function ``start`` makes of the ids. One panel of cells is held at a time.
+    """
+    number, ids, z, blocks, cells = None, None, None, [], None
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if row.fb != number:
+                if number is not None:
+                    yield number, ids, z if start is None else start(ids), blocks
+                number, ids, z, blocks = row.fb, np.zeros(0, np.int64), None, []
+            if row.panel is not None:
+                cells = np.frombuffer(row.ids, np.int64), np.frombuffer(row.panel).reshape(len(row.ids) // 8, -1)
+                continue
+            rows, cols, r, c, x = np.frombuffer(row.rows, np.int64), np.frombuffer(row.cols, np.int64), np.frombuffer(row.r, np.int32), np.frombuffer(row.c, np.int32), np.frombuffer(row.x)
+            blocks.append((row.cb, rows, cols, r, c, x))
+            every = np.union1d(ids, cols)
+            if start is None:
+                y = cells[1][np.searchsorted(cells[0], rows)]
+                total = np.zeros((len(every), y.shape[1]))
+                if z is not None:
+                    total[np.searchsorted(every, ids)] = z
+                z, at = total, np.searchsorted(every, cols)
+                for k in range(y.shape[1]):
+                    z[at, k] += np.bincount(c, x * y[r, k], len(cols))
+            ids = every
+    if number is not None:
+        yield number, ids, z if start is None else start(ids), blocks
+
+
+def _by_features(matrix: DataFrame, panels: DataFrame | None) -> DataFrame:
+    """Each feature block's matrix blocks and, before each of them, the panel of its cells, in order in one partition."""
+    blocks = matrix.select("fb", "cb", F.lit(1).alias("side"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("panel"), "rows", "cols", "r", "c", "x")
+    if panels is not None:
+        empty = [F.lit(None).cast("binary").alias(c) for c in ("rows", "cols", "r", "c", "x")]
+        sent = matrix.select("cb", "fb").join(panels.withColumnRenamed("block", "cb"), "cb")
+        blocks = blocks.unionByName(sent.select("fb", "cb", F.lit(0).alias("side"), "ids", "panel", *empty))
+    return blocks.repartition("fb").sortWithinPartitions("fb", "cb", "side")
+
+
+def _pass(matrix: DataFrame, panels: DataFrame | None, weights: np.ndarray | None, width: int, seed: int) -> DataFrame:
+    """Panels of the matrix times its transpose times ``panels`` times ``weights``; in blocks below 0 the QR factors of the inner product.
+
+    Without ``panels``, of the matrix times normal numbers for every feature, seeded by its id.
+    """
+    def draw(ids: np.ndarray) -> np.ndarray:
+        return np.stack([np.random.default_rng([seed, int(i) & (2**63 - 1)]).normal(size=width) for i in ids])
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for number, _ids, z, blocks in _feature_blocks(batches, draw if weights is None else None):
+            z = z if weights is None else z @ weights
+            yield pd.DataFrame([(-1 - number // 256, b"", np.linalg.qr(z, mode="r").tobytes())], columns=["block", "ids", "panel"])
+            for cb, rows, cols, r, c, x in blocks:
+                y = z[np.searchsorted(_ids, cols)]
+                out = np.stack([np.bincount(r, x * y[c, k], len(rows)) for k in range(y.shape[1])], axis=1)
+                yield pd.DataFrame([(cb, rows.tobytes(), out.tobytes())], columns=["block", "ids", "panel"])
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        opened = [_open(p) for _, p in parts.iterrows()]
-        ids = np.unique(np.concatenate([i for i, _ in opened]))
-        total = np.zeros((len(ids), opened[0][1].shape[1]))
-        for i, z in opened:
-            total[np.searchsorted(ids, i)] += z
-        return pd.DataFrame([(parts["block"].iat[0], ids.tobytes(), total.tobytes())], columns=["block", "ids", "panel"])
-
-    parts = matrix.groupBy("cb", "fb").cogroup(sent.groupBy("to_cb", "to_fb")).applyInPandas(product, PANEL)
+        block, across = parts["block"].iat[0], width if weights is None else weights.shape[1]
+        if block < 0:
+            stacked = np.concatenate([np.frombuffer(p).reshape(-1, across) for p in parts["panel"]])
+            return pd.DataFrame([(block, b"", np.linalg.qr(stacked, mode="r").tobytes())], columns=["block", "ids", "panel"])
+        ids = np.unique(np.concatenate([np.frombuffer(i, np.int64) for i in parts["ids"]]))
+        total = np.zeros((len(ids), across))
+        for i, z in zip(parts["ids"], parts["panel"]):
+            total[np.searchsorted(ids, np.frombuffer(i, np.int64))] += np.frombuffer(z).reshape(-1, across)
+        return pd.DataFrame([(block, ids.tobytes(), total.tobytes())], columns=["block", "ids", "panel"])
+
+    parts = _by_features(matrix, panels).mapInPandas(multiply, PANEL)
     return materialize(parts.groupBy("block").applyInPandas(add, PANEL))
 
 
-def _first_panels(matrix: DataFrame, width: int, seed: int) -> DataFrame:
-    """Normal numbers for every feature, seeded by its id."""
-    def draw(parts: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([np.frombuffer(c, np.int64) for c in parts["cols"]]))
-        z = np.stack([np.random.default_rng([seed, int(i) & (2**63 - 1)]).normal(size=width) for i in ids])
-        return pd.DataFrame([(parts["fb"].iat[0], ids.tobytes(), z.tobytes())], columns=["block", "ids", "panel"])
-
-    return materialize(matrix.select("fb", "cols").groupBy("fb").applyInPandas(draw, PANEL))
+def _let_go(spark) -> None:
+    """Shuffle files of past steps go when the driver collects its garbage; else they would stay for the whole run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def triangle(panels: DataFrame) -> np.ndarray:
@@ -131,35 +176,35 @@ def truncated_svd(values: DataFrame, k: int, cell: str = "cell", feature: str =
         F.col(cell).cast("long").alias("cell"), F.col(feature).cast("long").alias("feature"), x.alias("x")), cells, features)
     if matrix.isEmpty():
         return matrix.select(F.col("cb").cast("long").alias("cell"), F.col("fb").alias("component"), F.lit(0.0).alias("value"))
-    z, before = _first_panels(matrix, width, seed), None
-    weights = np.eye(width)
-    for _ in range(most_steps):
-        y = _times(matrix, z, True, weights)
-        q = _inverse(triangle(y))
-        z = _times(matrix, y, False, q)
-        r = triangle(z)
+    y, before, weights = _pass(matrix, None, None, width, seed), None, np.eye(width)
+    for step in range(most_steps):
+        panels = y.where("block >= 0")
+        turned = weights @ _inverse(np.linalg.qr(triangle(panels) @ weights, mode="r"))
+        ahead = _pass(matrix, panels, turned, width, seed)
+        factors = [np.frombuffer(f["panel"]).reshape(-1, turned.shape[1]) for f in ahead.where("block < 0").orderBy("block").collect()]  # one for 256 feature blocks
+        r = np.linalg.qr(np.concatenate(factors), mode="r")
         u, s, vt = np.linalg.svd(r, full_matrices=False)
         now = s[:k]
         if before is not None and len(before) == len(now) and (np.abs(now - before) <= tolerance * np.maximum(now, 1e-12 * s[0])).all():
             break
-        before, weights = now, _inverse(r)
+        if step + 1 < most_steps:
+            before, weights, y = now, _inverse(r), ahead
+            _let_go(values.sparkSession)
     keep = min(k, int((s > 1e-12 * s[0]).sum()))
     vs, s = vt[:keep].T, s[:keep]
 
-    def loads(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for _, p in part.iterrows():
-                ids, panel = _open(p)
-                v = panel @ vs
-                top = np.abs(v).argmax(axis=0)
-                yield pd.DataFrame({"component": np.arange(keep), "size": np.abs(v).max(axis=0), "feature": ids[top], "up": v[top, np.arange(keep)] >= 0})
+    def loads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, ids, z, _ in _feature_blocks(batches, None):
+            v = z @ turned @ vs
+            top = np.abs(v).argmax(axis=0)
+            yield pd.DataFrame({"component": np.arange(keep), "size": np.abs(v).max(axis=0), "feature": ids[top], "up": v[top, np.arange(keep)] >= 0})
 
-    largest = z.mapInPandas(loads, "component int, size double, feature long, up boolean").groupBy("component").agg(
+    largest = _by_features(matrix, panels).mapInPandas(loads, "component int, size double, feature long, up boolean").groupBy("component").agg(
         F.max_by("up", F.struct("size", -F.col("feature"))).alias("up"))
     signs = np.ones(keep)
     for row in largest.collect():                        # one row for each component
         signs[row["component"]] = 1.0 if row["up"] else -1.0
-    turn = q @ vs * (s * signs)
+    turn = turned @ vs * (s * signs)
 
     def scores(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -167,4 +212,4 @@ def truncated_svd(values: DataFrame, k: int, cell: str = "cell", feature: str =
                 ids, panel = _open(p)
                 yield pd.DataFrame({"cell": np.repeat(ids, keep), "component": np.tile(np.arange(1, keep + 1), len(ids)), "value": (panel @ turn).ravel()})
 
-    return y.mapInPandas(scores, "cell long, component int, value double")
+    return panels.mapInPandas(scores, "cell long, component int, value double")

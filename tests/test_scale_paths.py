@@ -29,6 +29,30 @@ def test_svd_over_blocks(spark, n, m, rank, cells, features, monkeypatch):
     assert np.allclose((got.to_numpy() ** 2).sum(axis=0), s[:4] ** 2, rtol=1e-5)
 
 
+def test_a_pass_sends_the_panels_of_cells_alone(spark):
+    """The matrix times its transpose times a panel, with the QR factors of the inner product, which is never written."""
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(23, 31)) * (rng.random((23, 31)) < 0.5)
+    df = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "cell long, feature long, x double")
+    matrix = V._blocked(df, 6, 8)
+    assert matrix.select("cb").distinct().count() > 2 and matrix.select("fb").distinct().count() > 2
+
+    def whole(panels, width):
+        out = np.zeros((23, width))
+        for p in panels.where("block >= 0").collect():
+            out[np.frombuffer(p["ids"], np.int64)] = np.frombuffer(p["panel"]).reshape(-1, width)
+        return out
+
+    first = V._pass(matrix, None, None, 4, 42)
+    y, w = whole(first, 4), rng.normal(size=(4, 3))
+    panels = first.where("block >= 0")
+    second = V._pass(matrix, panels, w, 4, 42)
+    assert np.allclose(whole(second, 3), a @ (a.T @ y @ w))
+    r = np.concatenate([np.frombuffer(p["panel"]).reshape(-1, 3) for p in second.where("block < 0").collect()])
+    assert np.allclose(r.T @ r, (a.T @ y @ w).T @ (a.T @ y @ w))
+    assert V._by_features(matrix, panels).where("panel IS NOT NULL").selectExpr("max(octet_length(ids))").first()[0] <= 8 * 23
+
+
 def test_svd_of_all_components_keeps_row_norms(spark):
     rng = np.random.default_rng(5)
     a = rng.normal(size=(12, 20))
